@@ -1,0 +1,162 @@
+"""How often every distinct term occurs, and in how many records: recursive radix spilling.
+
+Each input split first adds up its own terms, so that a term in a third of all rows travels once per
+batch. A shuffle then partitions the sums by hash: the first radix level, on disk. A task whose
+partition outgrows its budget spills it by four further hash bits into Parquet pieces in the shared
+folder, spills oversized pieces again by the next bits, and has DuckDB aggregate every piece
+out-of-core under a memory limit. Any number of distinct terms fits, whatever the task's memory.
+"""
+
+from __future__ import annotations
+
+import contextlib
+import os
+import shutil
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from brindle.session import plain_path, shared_path
+
+_SCHEMA = "vocabulary string, term string, n_occurrences long, n_records long"
+_ARROW = pa.schema([("vocabulary", pa.string()), ("term", pa.string()), ("n_occurrences", pa.int64()), ("n_records", pa.int64())])
+#: Bytes of one task's input from which it is spilled, hash bits of a level, and levels at most: then one term's rows are left, or too few bits.
+BUDGET, BITS, LEVELS = 64 << 20, 4, 12
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up equal terms of some batches; the arrays held stay below about 16 MB."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def add() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).group_by(["vocabulary", "term"]).aggregate([("n_occurrences", "sum"), ("n_records", "sum")])
+        return t.select(["vocabulary", "term", "n_occurrences_sum", "n_records_sum"]).rename_columns(_ARROW.names).cast(_ARROW).combine_chunks()
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size > 16 << 20:
+            yield from add().to_batches()
+            held, size = [], 0
+    if held:
+        yield from add().to_batches()
+
+
+def _radix(folder: str | None, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    total = "SELECT vocabulary, term, sum(n_occurrences)::BIGINT AS n_occurrences, sum(n_records)::BIGINT AS n_records FROM {} GROUP BY ALL"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > budget:
+                break
+        if not size:
+            return
+        own = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}" if folder else None
+        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(256, 4 * budget >> 20)}MB", **({"temp_directory": f"{own}/tmp"} if own else {})})
+        con.execute("SET preserve_insertion_order = false")
+        try:
+            if own:
+                os.makedirs(own, exist_ok=True)
+            if size <= budget or not own:
+                rest = pa.RecordBatchReader.from_batches(_ARROW, _chain(held, batches))
+                yield from _rows(con, total.format("rest"), rest)
+                return
+            source = pa.RecordBatchReader.from_batches(_ARROW, _chain(held, batches))
+            _spill(con, "source", f"{own}/0", 0, source)
+            del held
+            todo = [(f"{own}/0", 1)]
+            while todo:
+                at, level = todo.pop()
+                for piece in sorted(os.scandir(at), key=lambda e: e.name):
+                    files = f"read_parquet('{piece.path}/*.parquet', hive_partitioning = false)"
+                    if level < LEVELS and _rows_in(con, files) > max(1, budget // 64):
+                        _spill(con, files, f"{at}-{piece.name}", level)
+                        todo.append((f"{at}-{piece.name}", level + 1))
+                    else:
+                        yield from _rows(con, total.format(files))
+                    shutil.rmtree(piece.path, ignore_errors=True)
+        finally:
+            con.close()
+            if own:
+                shutil.rmtree(own, ignore_errors=True)
+
+    return run
+
+
+def _chain(held: list[pa.RecordBatch], rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in [*held]:
+        yield b.cast(_ARROW)
+    for b in rest:
+        yield b.cast(_ARROW)
+
+
+def _rows_in(con, files: str) -> int:
+    return con.execute(f"SELECT count(*) FROM {files}").fetchone()[0]
+
+
+def _spill(con, source: str, to: str, level: int, reader: pa.RecordBatchReader | None = None) -> None:
+    """Partition by the level's hash bits into folders; the hash is of the term, so a folder holds all rows of its terms."""
+    os.makedirs(to, exist_ok=True)
+    if reader is not None:
+        con.register("source", reader)
+    digit = f"((hash(vocabulary, term) >> {60 - BITS * level}) & {2**BITS - 1})::INTEGER AS digit"
+    con.execute(f"COPY (SELECT *, {digit} FROM {source}) TO '{to}' (FORMAT parquet, PARTITION_BY (digit), OVERWRITE_OR_IGNORE, COMPRESSION zstd)")
+    if reader is not None:
+        con.unregister("source")
+
+
+def _rows(con, sql: str, rest: pa.RecordBatchReader | None = None) -> Iterator[pa.RecordBatch]:
+    if rest is not None:
+        con.register("rest", rest)
+    for b in con.sql(sql).to_arrow_reader(65536):
+        yield b.cast(_ARROW)
+    with contextlib.suppress(Exception):
+        con.unregister("rest")
+
+
+def _terms_of(name: str, cols: list[Column]) -> Column:
+    """A record's distinct terms of one vocabulary, each with its occurrences, as an array."""
+    values = F.array_compact(F.array(*[c.cast("string") for c in cols]))
+    one = F.lit(1).cast("long")
+
+    def term(t: Column) -> Column:
+        times = F.size(F.filter(values, lambda x: x == t)).cast("long") if len(cols) > 1 else one
+        return F.struct(F.lit(name).alias("vocabulary"), t.alias("term"), times.alias("n_occurrences"), one.alias("n_records"))
+
+    return F.transform(F.array_distinct(values) if len(cols) > 1 else values, term)
+
+
+def term_counts(df: DataFrame, vocabularies: dict[str, list[Column]], *, partitions: int | None = None, budget: int = BUDGET) -> DataFrame:
+    """Occurrences of every term, and the records that hold it.
+
+    ``vocabularies``: the columns whose values make up each vocabulary. Nulls are no terms (let the
+    expression turn empty values into null). A record that holds a term in several columns of a
+    vocabulary counts once in n_records and each time in n_occurrences. Every row is a record, repeated
+    rows too. Result: vocabulary, term, n_occurrences, n_records; empty for an empty table. Terms of any
+    length are kept whole.
+    """
+    spark = df.sparkSession
+    lists = [_terms_of(name, cols) for name, cols in vocabularies.items()]
+    terms = df.select(F.inline(F.concat(*lists) if len(lists) > 1 else lists[0]))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    digit = F.pmod(F.xxhash64("vocabulary", "term"), F.lit(n)).cast("int")
+    spread = terms.mapInArrow(_combine, _SCHEMA).withColumn("digit", digit).repartitionById(n, F.col("digit")).drop("digit")
+    return spread.mapInArrow(_radix(plain_path(shared_path(spark, "radix")), budget), _SCHEMA)
+
+
+def mark_terms(counts: DataFrame, total: int, *, rare_below: int = 3, common_above: tuple[int, int] = (2, 100)) -> DataFrame:
+    """Adds ``mark``: 'rare' below so many records, 'common' above this share of ``total`` records, else null; rare goes first."""
+    common = F.col("n_records").cast("decimal(20,0)") * common_above[1] > F.lit(total).cast("decimal(20,0)") * common_above[0]
+    return counts.withColumn("mark", F.when(F.col("n_records") < rare_below, "rare").when(common, "common"))
