@@ -103,9 +103,7 @@ def key_totals(df: DataFrame, keys: dict[str, Column], measures: dict[str, Colum
     return total.select(*out)
 
 
-def dominant(totals: DataFrame, share: tuple[int, int] = (5, 100)) -> DataFrame:
-    """The keys of ``key_totals`` that have at least this share of all rows: key_field, key_value."""
-    all_rows = totals.groupBy("key_field").agg(F.sum("n_rows").alias("all_rows"))
-    d = lambda c: F.col(c).cast("decimal(20,0)")
-    hit = (d("n_rows") * share[1] >= d("all_rows") * share[0]) & F.col("key_value").isNotNull()
-    return totals.join(all_rows, "key_field").filter(hit).select("key_field", "key_value")
+def dominant(totals: DataFrame, all_rows: int, share: tuple[int, int] = (5, 100)) -> DataFrame:
+    """The keys of ``key_totals`` that at least this share of ``all_rows`` rows have: key_field, key_value."""
+    hit = F.col("n_rows").cast("decimal(20,0)") * share[1] >= F.lit(all_rows).cast("decimal(20,0)") * share[0]
+    return totals.filter(F.col("key_value").isNotNull() & hit).select("key_field", "key_value")
