@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import map_batches
+
 #: Ordinals of one bitmap container, and rows that are aligned at once.
 CONTAINER, CHUNK = 1 << 16, 1 << 18
 
@@ -222,7 +224,7 @@ def compare_copies(left: Copy, right: Copy, keys: list[str], fields: list[str] |
         cols += [F.lit(side).alias("side"), F.coalesce(version, F.lit(-(2**63))).alias("version"), F.coalesce(mark, F.lit(0)).alias("mark")]
         cols += [comparable(f, types[f]).alias(f"v{i}") for i, f in enumerate(fields)]
         df = c.df.select(*cols)
-        return df.mapInArrow(_thin, df.schema)
+        return map_batches(df, _thin, df.schema)
 
     rows = normal(left, 0).unionByName(normal(right, 1))
     key = [f"k{i}" for i in range(len(keys))]
@@ -232,4 +234,4 @@ def compare_copies(left: Copy, right: Copy, keys: list[str], fields: list[str] |
     from pyspark.sql.pandas.types import to_arrow_schema
 
     missing = (f"missing_in_{names[0]}", f"missing_in_{names[1]}")
-    return ordered.mapInArrow(_compare(fields, len(keys), missing, to_arrow_schema(out)), out)
+    return map_batches(ordered, _compare(fields, len(keys), missing, to_arrow_schema(out)), out)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import map_batches
+
 #: Dictionary entries in one block, and those at which a split sends its arrays and starts again.
 BLOCK, FULL = 4096, 1 << 18
 
@@ -94,7 +96,7 @@ def key_totals(df: DataFrame, keys: dict[str, Column], measures: dict[str, Colum
     cols = [c.cast("string").alias(f"k{i}") for i, c in enumerate(keys.values())] + [c.cast("long").alias(f"m{i}") for i, c in enumerate(measures.values())]
     arrays = [f"a{i}" for i in range(1 + 2 * len(measures))]
     schema = T.StructType([T.StructField("field", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType())), *[T.StructField(a, T.ArrayType(T.LongType())) for a in arrays]])
-    blocks = df.select(*cols).mapInArrow(_accumulate(len(names), len(measures)), schema)
+    blocks = map_batches(df.select(*cols), _accumulate(len(names), len(measures)), schema)
     rows = blocks.select("field", F.inline(F.arrays_zip("keys", *arrays)))
     total = rows.groupBy("field", "keys").agg(*[F.sum(a).alias(a) for a in arrays])
     out = [F.element_at(F.array(*[F.lit(n) for n in names]), F.col("field") + 1).alias("key_field"), F.col("keys").alias("key_value"), F.col("a0").alias("n_rows")]

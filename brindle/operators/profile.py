@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import stage
+from brindle.session import map_batches, stage
 
 QUANTILES = (0.25, 0.5, 0.75)
 _STATS = "n_distinct long, top_count long, min_value string, max_value string, quantiles array<string>, l1 decimal(38,0), ks decimal(38,0)"
@@ -192,7 +192,7 @@ def profile_loads(
     each time; an empty table gives an empty result. Other columns of ``df`` don't matter, whatever their names.
     """
     key = loads_key or load
-    totals = load_totals(df, loads, rules, load, prev, key)
+    totals = stage(load_totals(df, loads, rules, load, prev, key), "totals")
     hist = _cells(df, rules, load).groupBy("col", "load", "value").agg(F.count(F.lit(1)).alias("n"))
     number = F.lit(None).cast("double")
     for i, r in enumerate(rules):
@@ -207,7 +207,7 @@ def profile_loads(
     heads = totals.select("col", "pair", F.lit(0).cast("tinyint").alias("hdr"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("value"), F.col("n_new").alias("new"), F.col("n_old").alias("old"))
     order = ["col", "pair", "hdr", "num", "value"]
     ranged = own.union(before).union(heads).repartitionByRange(*order).sortWithinPartitions(*order)
-    curves = stage(ranged.mapInArrow(_curves, _SCHEMA), "curves")
+    curves = stage(map_batches(ranged, _curves, _SCHEMA), "curves")
     stats = ["n_distinct", "top_count", "min_value", "max_value", "quantiles", "l1", "ks"]
     whole = curves.filter("n_new is not null").select("col", "pair", *stats)
     found = whole.union(_joined_up(curves.filter("seg is not null"), totals).select("col", "pair", *stats))

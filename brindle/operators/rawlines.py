@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from brindle.session import map_batches
+
 QUOTE, COMMA, CR = 0x22, 0x2C, 0x0D
 
 
@@ -166,4 +168,4 @@ def parse_lines(df: DataFrame, line: str, fields: list[LineField], keep: list[st
     out = T.StructType([*carried.fields, T.StructField("reason", T.StringType()), *[T.StructField(f.name, _TYPES[f.kind][0]) for f in fields]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return df.select(*keep, df[line].cast("string").alias("__line")).mapInArrow(_parser(fields, len(keep), to_arrow_schema(out)), out)
+    return map_batches(df.select(*keep, df[line].cast("string").alias("__line")), _parser(fields, len(keep), to_arrow_schema(out)), out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import plain_path, shared_path
+from brindle.session import map_batches, plain_path, shared_path
 
 _SCHEMA = "vocabulary string, term string, n_occurrences long, n_records long"
 _ARROW = pa.schema([("vocabulary", pa.string()), ("term", pa.string()), ("n_occurrences", pa.int64()), ("n_records", pa.int64())])
@@ -152,8 +152,8 @@ def term_counts(df: DataFrame, vocabularies: dict[str, list[Column]], *, partiti
     terms = df.select(F.inline(F.concat(*lists) if len(lists) > 1 else lists[0]))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     digit = F.pmod(F.xxhash64("vocabulary", "term"), F.lit(n)).cast("int")
-    spread = terms.mapInArrow(_combine, _SCHEMA).withColumn("digit", digit).repartitionById(n, F.col("digit")).drop("digit")
-    return spread.mapInArrow(_radix(plain_path(shared_path(spark, "radix")), budget), _SCHEMA)
+    spread = map_batches(terms, _combine, _SCHEMA).withColumn("digit", digit).repartitionById(n, F.col("digit")).drop("digit")
+    return map_batches(spread, _radix(plain_path(shared_path(spark, "radix")), budget), _SCHEMA)
 
 
 def mark_terms(counts: DataFrame, total: int, *, rare_below: int = 3, common_above: tuple[int, int] = (2, 100)) -> DataFrame:

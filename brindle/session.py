@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Settings that every session made here gets; a cluster's own session is used as it is.
 DEFAULTS = {
@@ -67,6 +71,23 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_batches(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow``, with this package sent to the executors once for each application, so that none must have it installed."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        packed = Path(tempfile.mkdtemp()) / "brindle-package.zip"  # on the driver only; Spark hands it out
+        with zipfile.ZipFile(packed, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(packed))
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(f, schema)
+
+
 def plain_path(uri: str) -> str | None:
     """The mounted path behind a file URI, or None where the folder is on another kind of file system."""
     if uri.startswith("file:"):
