@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import problems
+from brindle.plans import engines, ontime, problems, relational, scalar, tpch
 
-MODULES = [problems]
+MODULES = [problems, tpch, ontime, relational, scalar, engines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,74 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.operators import termfreq
+from brindle.operators.hotkeys import _Dense, clean_code, dominant, key_totals
+from brindle.operators.termfreq import mark_terms, term_counts
+
+ROWS = [(" ab", 1, 5), ("AB ", 0, None), ("ab", None, -7), ("", 1, 3), (None, 1, 2), ("   ", 0, 1), ("x" * 5000, 1, 2**40), ("cd", 0, -(2**40)), ("cd", 0, -(2**40))]
+
+
+def test_key_totals(spark):
+    df = spark.createDataFrame(ROWS * 40, "k string, c int, d long").withColumn("key_field", F.lit("clash"))
+    got = {r.key_value: (r.n_rows, r.c_sum, r.c_count, r.d_sum, r.d_count) for r in key_totals(df, {"k": clean_code(F.col("k"))}, {"c": F.col("c"), "d": F.col("d")}).collect()}
+    assert got == {"AB": (120, 40, 80, -80, 80), None: (120, 80, 120, 240, 120), "X" * 5000: (40, 40, 40, 40 * 2**40, 40), "CD": (80, 0, 80, -80 * 2**40, 80)}
+
+
+def test_key_totals_empty_and_all_null(spark):
+    empty = spark.createDataFrame([], "k string, c int, d long")
+    assert key_totals(empty, {"k": F.col("k")}, {"d": F.col("d")}).collect() == []
+    nulls = spark.createDataFrame([(None, None, None)] * 3, "k string, c int, d long")
+    assert [tuple(r) for r in key_totals(nulls, {"k": F.col("k")}, {"d": F.col("d")}).collect()] == [("k", None, 3, None, 0)]
+
+
+def test_dominant_counts_all_rows(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 4 + [(None,)] * 91, "k string")
+    assert [tuple(r) for r in dominant(key_totals(df, {"k": F.col("k")}, {}), 100).collect()] == [("k", "a")]
+
+
+def test_blocks_flush_and_grow(spark, monkeypatch):
+    import pyarrow as pa
+
+    schema = pa.schema([("field", pa.int32()), ("keys", pa.list_(pa.string())), ("a0", pa.list_(pa.int64()))])
+    d = _Dense(0)
+    for lo in range(0, 9000, 3000):
+        d.add(pa.array([f"k{i}" for i in range(lo, lo + 3000)] + ["k0"]), [])
+    total = Counter()
+    for b in d.blocks(0, schema):
+        total.update(dict(zip(b.column(1)[0].as_py(), b.column(2)[0].as_py(), strict=True)))
+    assert len(total) == 9000 and total["k0"] == 4
+    assert d.codes == {}
+
+
+@pytest.mark.parametrize("budget", [1, 2000, 64 << 20])
+def test_term_counts(spark, budget):
+    """Every budget, so that terms are aggregated at once, after one spill, and after many, must give the same."""
+    rows = [("a", "a"), ("a", "b"), (None, "b"), ("", None), ("w" * 3000, "é")] * 30 + [(f"t{i}", f"t{i + 1}") for i in range(700)]
+    df = spark.createDataFrame(rows, "o string, d string").repartition(3).withColumn("term", F.lit(1))
+    got = {(r.vocabulary, r.term): (r.n_occurrences, r.n_records) for r in term_counts(df, {"v": [F.nullif("o", F.lit("")), F.col("d")], "one": [F.nullif("o", F.lit(""))]}, partitions=2, budget=budget).collect()}
+    occ, rec, one = Counter(), Counter(), Counter()
+    for o, d in rows:
+        both = [x for x in (o or None, d) if x is not None]
+        occ.update(both)
+        rec.update(set(both))
+        one.update([o] if o else [])
+    assert got == {("v", t): (occ[t], rec[t]) for t in occ} | {("one", t): (n, n) for t, n in one.items()}
+
+
+def test_one_hot_term_beyond_the_budget(spark):
+    df = spark.createDataFrame([("hot",)] * 3000, "t string").repartition(40)
+    assert [tuple(r) for r in term_counts(df, {"v": [F.col("t")]}, partitions=1, budget=1).collect()] == [("v", "hot", 3000, 3000)]
+
+
+def test_term_counts_empty(spark):
+    df = spark.createDataFrame([], "t string")
+    assert term_counts(df, {"v": [F.col("t")]}).collect() == []
+    assert term_counts(spark.createDataFrame([(None,)], "t string"), {"v": [F.col("t")]}).collect() == []
+
+
+def test_marks(spark):
+    c = spark.createDataFrame([("v", "a", 2, 2), ("v", "b", 3, 3), ("v", "c", 30, 20), ("v", "d", 30, 21)], termfreq._SCHEMA)
+    assert [r.mark for r in mark_terms(c, 1000).orderBy("term").collect()] == ["rare", None, None, "common"]
+    assert [r.mark for r in mark_terms(c, 10).orderBy("term").collect()] == ["rare", "common", "common", "common"]
