@@ -188,7 +188,7 @@ def _cast(a: Args) -> str:
     if kind.startswith(("SIGNED", "UNSIGNED")):
         whole = f"CAST(ROUND(TRY_CAST(COALESCE(NULLIF({number}, ''), '0') AS DECIMAL(38,10))) AS DECIMAL(20,0))"
         guard = f"IF({value} IS NULL, NULL, {whole})"
-        return f"TRY_CAST({guard} AS BIGINT)" if kind.startswith("SIGNED") else f"IF({guard} < 0, {guard} + CAST('18446744073709551616' AS DECIMAL(20,0)), {guard})"
+        return f"TRY_CAST({guard} AS BIGINT)" if kind.startswith("SIGNED") else f"CAST(IF({guard} < 0, {guard} + CAST('18446744073709551616' AS DECIMAL(20,0)), {guard}) AS DECIMAL(20,0))"
     if kind.startswith("DECIMAL"):
         kind = kind if "(" in kind else "DECIMAL(10,0)"
         return f"IF({value} IS NULL, NULL, TRY_CAST(COALESCE(NULLIF({number}, ''), '0') AS {kind}))"
@@ -423,17 +423,31 @@ OPERATORS: dict[str, Callable[[str, str], str]] = {
     "<<": lambda x, y: f"IF({y} >= 64 OR {y} < 0, 0, SHIFTLEFT(CAST({x} AS BIGINT), CAST({y} AS INT)))",
     ">>": lambda x, y: f"IF({y} >= 64 OR {y} < 0, 0, SHIFTRIGHTUNSIGNED(CAST({x} AS BIGINT), CAST({y} AS INT)))",
     "XOR": lambda x, y: f"(CAST({x} AS BOOLEAN) <> CAST({y} AS BOOLEAN))",
-    "&&": lambda x, y: f"({x} AND {y})",
-    "||": lambda x, y: f"({x} OR {y})",
+    "&&": lambda x, y: f"({truth(x)} AND {truth(y)})",
+    "||": lambda x, y: f"({truth(x)} OR {truth(y)})",
     "->": lambda x, y: f"GET_JSON_OBJECT({x}, {y})",
     "->>": lambda x, y: f"GET_JSON_OBJECT({x}, {y})",
     "REGEXP": lambda x, y: f"({x} RLIKE {y})",
+    "&": lambda x, y: f"({_signed(x)} & {_signed(y)})",
+    "|": lambda x, y: f"({_signed(x)} | {_signed(y)})",
+    "^": lambda x, y: f"({_signed(x)} ^ {_signed(y)})",
 }
 
 
+def truth(x: str) -> str:
+    """An operand of AND, OR and NOT: a bare number or column counts as true unless it is 0."""
+    return f"CAST({x} AS BOOLEAN)" if re.fullmatch(r"[\w.`]+", x) and x.upper() not in ("NULL", "TRUE", "FALSE") else x
+
+
+def _signed(x: str) -> str:
+    """An operand of a bit operation: a complement as the signed number of the same bits."""
+    m = re.match(r"CAST\(CAST\((~CAST\(.* AS BIGINT\)) AS DECIMAL\(20,0\)\) \+ IF\(", x)
+    return f"({m[1]})" if m else x
+
+
 def bit_not(x: str) -> str:
     """The complement as an unsigned 64-bit number."""
-    return f"(CAST(~CAST({x} AS BIGINT) AS DECIMAL(20,0)) + IF(~CAST({x} AS BIGINT) < 0, CAST('18446744073709551616' AS DECIMAL(20,0)), CAST(0 AS DECIMAL(20,0))))"
+    return f"CAST(CAST(~CAST({x} AS BIGINT) AS DECIMAL(20,0)) + IF(~CAST({x} AS BIGINT) < 0, CAST('18446744073709551616' AS DECIMAL(20,0)), CAST(0 AS DECIMAL(20,0))) AS DECIMAL(20,0))"
 
 
 # --- aggregates ---

@@ -242,7 +242,7 @@ def _joined_up(raw: DataFrame, totals: DataFrame) -> DataFrame:
         F.max("new").alias("top_count"),
         F.min(F.when(F.col("new") > 0, place))["value"].alias("min_value"),
         F.max(F.when(F.col("new") > 0, place))["value"].alias("max_value"),
-        F.array(*reach).alias("quantiles"),
+        F.when(F.max("n_new") > 0, F.array(*reach)).alias("quantiles"),
         F.sum(F.when(both, F.abs(d("new") * d("n_old") - d("old") * d("n_new")))).cast("decimal(38,0)").alias("l1"),
         F.max(F.when(both, F.abs(up.cast("decimal(19,0)") * d("n_old") - prior.cast("decimal(19,0)") * d("n_new")))).cast("decimal(38,0)").alias("ks"),
     )

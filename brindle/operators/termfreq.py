@@ -65,7 +65,7 @@ def _radix(folder: str | None, budget: int) -> Callable[[Iterator[pa.RecordBatch
             return
         own = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}" if folder else None
         con = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(256, 4 * budget >> 20)}MB", **({"temp_directory": f"{own}/tmp"} if own else {})})
-        con.execute("SET preserve_insertion_order = false")
+        con.execute("SET preserve_insertion_order = false").fetchall()
         try:
             if own:
                 os.makedirs(own, exist_ok=True)
@@ -103,7 +103,7 @@ def _chain(held: list[pa.RecordBatch], rest: Iterator[pa.RecordBatch]) -> Iterat
 
 
 def _rows_in(con, files: str) -> int:
-    return con.execute(f"SELECT count(*) FROM {files}").fetchone()[0]
+    return con.execute(f"SELECT count(*) FROM {files}").fetchall()[0][0]
 
 
 def _spill(con, source: str, to: str, level: int, reader: pa.RecordBatchReader | None = None) -> None:
@@ -112,7 +112,7 @@ def _spill(con, source: str, to: str, level: int, reader: pa.RecordBatchReader |
     if reader is not None:
         con.register("source", reader)
     digit = f"((hash(vocabulary, term) >> {60 - BITS * level}) & {2**BITS - 1})::INTEGER AS digit"
-    con.execute(f"COPY (SELECT *, {digit} FROM {source}) TO '{to}' (FORMAT parquet, PARTITION_BY (digit), OVERWRITE_OR_IGNORE, COMPRESSION zstd)")
+    con.execute(f"COPY (SELECT *, {digit} FROM {source}) TO '{to}' (FORMAT parquet, PARTITION_BY (digit), OVERWRITE_OR_IGNORE, COMPRESSION zstd)").fetchall()
     if reader is not None:
         con.unregister("source")
 

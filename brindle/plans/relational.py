@@ -97,11 +97,11 @@ C.both("agg_statistics", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6)
 
 # --- windows ---
 _BY = "PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey"
-C.both("window_ranking", f"SELECT o_orderkey, ROW_NUMBER() OVER w AS rn, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, CAST(NTILE(4) OVER w AS INT) AS nt, ROUND(PERCENT_RANK() OVER w, 9) AS pr, ROUND(CUME_DIST() OVER w, 9) AS cd FROM orders WINDOW w AS ({_BY})")
+C.both("window_ranking", f"SELECT o_orderkey, CAST(ROW_NUMBER() OVER w AS BIGINT) AS rn, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS dr, CAST(NTILE(4) OVER w AS INT) AS nt, ROUND(PERCENT_RANK() OVER w, 9) AS pr, ROUND(CUME_DIST() OVER w, 9) AS cd FROM orders WINDOW w AS ({_BY})")
 C.both("window_offsets", f"SELECT o_orderkey, LAG(o_totalprice, 1) OVER w AS prev, LEAD(o_totalprice, 2, -1.0) OVER w AS next2, FIRST_VALUE(o_orderkey) OVER w AS f, LAST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, NTH_VALUE(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS ({_BY})")
 C.both("window_rows_frame", f"SELECT o_orderkey, COUNT(*) OVER ({_BY} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, MAX(o_totalprice) OVER ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM orders")
 C.both("window_range_frame", "SELECT row_id, COUNT(*) OVER (PARTITION BY origin ORDER BY distance NULLS FIRST RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS near FROM ontime WHERE distance IS NOT NULL")
-C.both("window_named", "SELECT c_custkey, RANK() OVER seg AS r, COUNT(*) OVER seg AS n FROM customer WINDOW seg AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)")
+C.both("window_named", "SELECT c_custkey, CAST(RANK() OVER seg AS BIGINT) AS r, COUNT(*) OVER seg AS n FROM customer WINDOW seg AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)")
 
 
 @C.frame("window_dedup", "SELECT l_orderkey, l_linenumber, MAX(internal_version) AS version FROM lineitem_colstore GROUP BY l_orderkey, l_linenumber")

@@ -33,7 +33,7 @@ dialect("fn_compare", "SELECT row_id, GREATEST(depdelay, arrdelay, 0) AS g, LEAS
 dialect("fn_string", "SELECT c_custkey, CONCAT(c_name, '-', c_mktsegment) AS c, CONCAT_WS('/', c_name, NULL, 'x') AS w, LENGTH(c_name) AS n, UPPER(c_name) AS u, LCASE(c_mktsegment) AS l, LEFT(c_name, 4) AS lf, RIGHT(c_name, 4) AS rt, SUBSTRING(c_name, 0, 3) AS s0, MID(c_name, 3, 4) AS m, LPAD(c_custkey, 8, '0') AS lp, REPLACE(c_name, 'Cust', 'K') AS rp, REVERSE(c_mktsegment) AS rv, INSTR(c_name, '#') AS i, LOCATE('0', c_name, 12) AS lc, SUBSTRING_INDEX(c_name, '#', 1) AS si, REPEAT('ab', 2) AS re, ELT(c_nationkey, 'a', 'b') AS e, FIELD(c_mktsegment, 'BUILDING', 'MACHINERY') AS f, INSERT(c_name, 3, 100, 'Z') AS ins, TRIM(LEADING 'Cu' FROM c_name) AS t, FIND_IN_SET('b', 'a,b,c') AS fs, ASCII(c_name) AS a, HEX(c_custkey) AS h FROM customer",
         "SELECT c_custkey, c_name || '-' || c_mktsegment AS c, c_name || '/x' AS w, CAST(strlen(c_name) AS INT) AS n, upper(c_name) AS u, lower(c_mktsegment) AS l, left(c_name, 4) AS lf, right(c_name, 4) AS rt, '' AS s0, substr(c_name, 3, 4) AS m, CASE WHEN length(CAST(c_custkey AS VARCHAR)) > 8 THEN left(CAST(c_custkey AS VARCHAR), 8) ELSE lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS lp, replace(c_name, 'Cust', 'K') AS rp, reverse(c_mktsegment) AS rv, CAST(instr(c_name, '#') AS INT) AS i, CAST(CASE WHEN instr(substr(c_name, 12), '0') > 0 THEN instr(substr(c_name, 12), '0') + 11 ELSE 0 END AS INT) AS lc, split_part(c_name, '#', 1) AS si, 'abab' AS re, CASE c_nationkey WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS e, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS INT) AS f, left(c_name, 2) || 'Z' AS ins, regexp_replace(c_name, '^(Cu)+', '') AS t, CAST(2 AS INT) AS fs, CAST(ascii(c_name) AS INT) AS a, upper(hex(c_custkey)) AS h FROM customer")
 dialect("fn_date", "SELECT o_orderkey, YEAR(o_orderdate) AS y, QUARTER(o_orderdate) AS q, MONTH(o_orderdate) AS m, DAYOFMONTH(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dw, WEEKDAY(o_orderdate) AS wd, DAYOFYEAR(o_orderdate) AS dy, WEEKOFYEAR(o_orderdate) AS w, DAYNAME(o_orderdate) AS dn, MONTHNAME(o_orderdate) AS mn, LAST_DAY(o_orderdate) AS ld, DATEDIFF(o_orderdate, '1996-01-01') AS dd, TO_DAYS(o_orderdate) AS td, DATE_FORMAT(o_orderdate, '%Y/%m/%d') AS df, DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS da, DATE_SUB(o_orderdate, INTERVAL '1:30' HOUR_MINUTE) AS ds, TIMESTAMPDIFF(DAY, '1995-01-01', o_orderdate) AS ts, EXTRACT(YEAR_MONTH FROM o_orderdate) AS ym, MAKEDATE(YEAR(o_orderdate), 60) AS mk, YEARWEEK(o_orderdate, 3) AS yw FROM orders",
-        "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dw, CAST(isodow(o_orderdate) - 1 AS INT) AS wd, CAST(dayofyear(o_orderdate) AS INT) AS dy, CAST(weekofyear(o_orderdate) AS INT) AS w, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn, last_day(o_orderdate) AS ld, CAST(date_diff('day', DATE '1996-01-01', o_orderdate) AS INT) AS dd, CAST(date_diff('day', DATE '1970-01-01', o_orderdate) + 719528 AS INT) AS td, strftime(o_orderdate, '%Y/%m/%d') AS df, o_orderdate + INTERVAL 1 MONTH AS da, o_orderdate - INTERVAL 90 MINUTE AS ds, date_diff('day', DATE '1995-01-01', o_orderdate) AS ts, year(o_orderdate) * 100 + month(o_orderdate) AS ym, make_date(year(o_orderdate), 1, 1) + 59 AS mk, isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS yw FROM orders")
+        "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dw, CAST(isodow(o_orderdate) - 1 AS INT) AS wd, CAST(dayofyear(o_orderdate) AS INT) AS dy, CAST(weekofyear(o_orderdate) AS INT) AS w, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn, last_day(o_orderdate) AS ld, CAST(date_diff('day', DATE '1996-01-01', o_orderdate) AS INT) AS dd, CAST(date_diff('day', DATE '1970-01-01', o_orderdate) + 719528 AS INT) AS td, strftime(o_orderdate, '%Y/%m/%d') AS df, o_orderdate + INTERVAL 1 MONTH AS da, o_orderdate - INTERVAL 90 MINUTE AS ds, date_diff('day', DATE '1995-01-01', o_orderdate) AS ts, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS ym, make_date(year(o_orderdate), 1, 1) + 59 AS mk, CAST(isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS INT) AS yw FROM orders")
 dialect("fn_cast", "SELECT row_id, CAST(tailnum AS SIGNED) AS n, CAST(flightnum AS UNSIGNED) AS u, CAST(flightnum AS DECIMAL(10,2)) AS d, CAST(origincityname AS CHAR(5)) AS c, CONVERT(flightnum, SIGNED) AS s FROM ontime",
         "SELECT row_id, CASE WHEN tailnum IS NOT NULL THEN coalesce(try_cast(nullif(regexp_extract(tailnum, '^\\s*([+-]?[0-9]*[.]?[0-9]+)', 1), '') AS BIGINT), 0) END AS n, CASE WHEN flightnum IS NOT NULL THEN CAST(coalesce(try_cast(nullif(regexp_extract(flightnum, '^\\s*([+-]?[0-9]*[.]?[0-9]+)', 1), '') AS BIGINT), 0) AS DECIMAL(20,0)) END AS u, CASE WHEN flightnum IS NOT NULL THEN CAST(coalesce(try_cast(nullif(regexp_extract(flightnum, '^\\s*([+-]?[0-9]*[.]?[0-9]+)', 1), '') AS DECIMAL(10,2)), 0) AS DECIMAL(10,2)) END AS d, left(origincityname, 5) AS c, CASE WHEN flightnum IS NOT NULL THEN coalesce(try_cast(nullif(regexp_extract(flightnum, '^\\s*([+-]?[0-9]*[.]?[0-9]+)', 1), '') AS BIGINT), 0) END AS s FROM ontime")
 dialect("fn_json", "SELECT event_id, JSON_EXTRACT(props, '$.k') AS k, props->'$.k' AS k2, JSON_UNQUOTE(JSON_EXTRACT(props, '$.none')) AS n FROM events WHERE JSON_EXTRACT(props, '$.k') > 50",

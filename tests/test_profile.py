@@ -18,7 +18,7 @@ def brute(rows, loads, column, numeric):
     out = {}
     for load, cells in by.items():
         have = sorted((c for c in cells if c is not None and (numeric or c.strip(" "))), key=lambda c: c)
-        old = sorted(c for c in by.get(prev.get(load), []) if c is not None and (numeric or c.strip(" "))) if load is not None else []
+        old = sorted(c for c in by.get(prev.get(load), []) if c is not None and (numeric or c.strip(" "))) if load is not None and prev.get(load) is not None else []
         a, b = Counter(have), Counter(old)
         l1 = ks = None
         if have and old:
