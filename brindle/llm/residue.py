@@ -193,6 +193,17 @@ def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
     return found
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of at most ``SPAN`` characters, cut between sentences where one ends in the part's last eighth."""
+    lo = 0
+    while len(text) - lo > SPAN:
+        cut = max(text.rfind(end, lo + SPAN - SPAN // 8, lo + SPAN) for end in (". ", "! ", "? ", "。"))
+        hi = cut + 1 if cut >= 0 else lo + SPAN
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
 def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dict[str, float]]:
     """The classes of each text with their coverage; nothing for null, empty and very short ones. Texts are taken in parts of ``SPAN`` characters."""
     found: list[dict[str, float]] = [{} for _ in texts]
@@ -201,8 +212,7 @@ def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dic
     for i, t in enumerate(texts):
         n = normal(t) if t else ""
         if len(n.strip()) >= LEAST:
-            # parts of a longer text share 128 characters with the next one, more than any window or shape
-            pieces += [(i, n[lo : lo + SPAN + 128]) for lo in range(0, len(n), SPAN)]
+            pieces += [(i, part) for part in _parts(n)]
     lo = 0
     while lo < len(pieces):
         hi, room = lo, SPAN
