@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from brindle.llm import seeds
@@ -52,20 +53,26 @@ _WORD = r"[^\W\d_][\w .\-']{0,40}"
 # What can be an unfilled placeholder. The pieces in turn: pairs of template marks, open ones, single marks around a field name, written-out prompts, values of failed filling.
 SHAPES = (
     r"\{\{\{?[^{}\n]{1,60}(?:\}\}\}?|[:\s]|$)|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#@%]\{[^{}\n]{1,60}\}|\{\$[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|%\([^()\n]{1,60}\)[sd]|\*\|[^|\n]{1,60}\|\*|@@\w[^@\n]{0,60}@@|##\w[^#\n]{0,60}##|<!--[^<>\n]{1,60}-->"
-    r"|\{" + _WORD + r"\}|\[" + _WORD + r"\]|<[^\W\d_][\w .\-']{2,40}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,40}%|\$[^\W\d_][\w.]{2,40}\$|~[^\W\d_][\w. ]{2,40}~|__[^\W\d_][\w.]{2,40}__|(?<!\w)%(?:0\$)?[sd](?!\w)|\{0\}|【[^】\n]{1,40}】|«[^»\n]{1,40}»"
+    r"|\{" + _WORD + r"\}|\[" + _WORD + r"\]|<[^\W\d_][\w .\-']{2,40}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,40}%|\$[^\W\d_][\w.]{2,40}\$|~[^\W\d_][\w. ]{2,40}~|__[^\W\d_][\w.]{2,40}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,40}】|«[^»\n]{1,40}»"
     r"|_{5,}|〇{2,}|○{2,}|\([^()\n]*(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter)[^()\n]*\)|insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|\[object object\]|undefined undefined|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|missing translation|field_not_set|\[x+\]"
 )
 
 
-def normal(text: str) -> str:
-    """Lower case, each digit 0, each run of white space one blank."""
-    import regex
+_SHAPE, _SENTENCE = regex.compile(SHAPES), regex.compile(r"[^.!?。！？]+")
+#: Characters around a marked one in which a placeholder's shape is looked for: more than any shape is long.
+AROUND = 70
+
 
-    return regex.sub(r"\s+", " ", regex.sub(r"\d", "0", text.lower()))
+def normal(text: str) -> str:
+    """Lower case, each run of white space one blank, none at the ends."""
+    return " ".join(text.lower().split())
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """A normalised text's characters, all digits alike."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes[(codes >= 48) & (codes <= 57)] = 48
+    return codes
 
 
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -172,24 +179,32 @@ def windows(tables: dict[str, np.ndarray], texts: list[str]) -> dict[str, list[n
     return marked
 
 
+def _shaped(text: str, mask: np.ndarray) -> bool:
+    """Whether something of a placeholder's shape has a marked character."""
+    at = np.flatnonzero(mask)
+    for near in np.split(at, np.flatnonzero(np.diff(at) > AROUND) + 1):
+        lo = max(0, int(near[0]) - AROUND)
+        if any(mask[lo + m.start() : lo + m.end()].any() for m in _SHAPE.finditer(text[lo : int(near[-1]) + AROUND])):
+            return True
+    return False
+
+
 def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
     """Each class that applies to a normalised text, with the share of its characters that windows mark."""
-    import regex
-
     found = {}
     for name, rule in RULES.items():
         mask = marked[name]
-        if not mask.any():
+        count = int(np.count_nonzero(mask))
+        if not count:
             continue
         if name == "placeholder":
-            # a window marks some of a placeholder's characters: its shape must be there
-            ok = any(mask[m.start() : m.end()].any() for m in regex.finditer(SHAPES, text))
+            ok = _shaped(text, mask)  # a window marks some of a placeholder's characters: its shape must be there
         elif rule.sentence is None:
-            ok = mask.mean() >= rule.share
+            ok = count >= rule.share * len(mask)
         else:
-            ok = any(m.end() - m.start() >= rule.sentence and mask[m.start() : m.end()].mean() >= rule.share for m in regex.finditer(r"[^.!?。！？]+", text))
+            ok = any(m.end() - m.start() >= rule.sentence and np.count_nonzero(mask[m.start() : m.end()]) >= rule.share * (m.end() - m.start()) for m in _SENTENCE.finditer(text))
         if ok:
-            found[name] = float(mask.mean())
+            found[name] = count / len(mask)
     return found
 
 
@@ -224,9 +239,10 @@ def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dic
         for k, t in enumerate(part):
             own = {c: m[k] for c, m in marked.items()}
             i = pieces[lo + k][0]
-            notice.setdefault(i, []).append((len(t), float(own["notice"].mean())))
-            for c, share in judge(t, own).items():
-                found[i][c] = max(share, found[i].get(c, 0))
+            notice.setdefault(i, []).append((len(t), np.count_nonzero(own["notice"]) / len(t)))
+            if any(m.any() for m in own.values()):
+                for c, share in judge(t, own).items():
+                    found[i][c] = max(share, found[i].get(c, 0))
         lo = hi
     for i, parts in notice.items():
         if len(parts) > 1 and sum(n * s for n, s in parts) < RULES["notice"].share * sum(n for n, _ in parts):
