@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from brindle.session import map_batches, stage
 
 QUANTILES = (0.25, 0.5, 0.75)
+#: Rows of a partition that are in memory at once.
+CHUNK = 1 << 19
 _STATS = "n_distinct long, top_count long, min_value string, max_value string, quantiles array<string>, l1 decimal(38,0), ks decimal(38,0)"
-_RAW = "seg int, value string, num double, new long, old long, cum_new long, cum_old long"
+_RAW = "seg long, value string, num double, new long, old long, cum_new long, cum_old long"
 _SCHEMA = f"col tinyint, pair long, n_new long, n_old long, {_STATS}, {_RAW}"
 
 
@@ -96,16 +98,36 @@ def _differs(a: pa.Array) -> np.ndarray:
 
 
 def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range partition, sorted by (col, pair, num, value), header rows (hdr 0) first within their pair."""
+    """One range partition, sorted by (col, pair, hdr, num, value), header rows (hdr 0) first within their pair.
+
+    It is taken in chunks of some hundred thousand rows, cut between values; what a chunk doesn't hold whole counts as cut by a partition boundary.
+    """
     from pyspark import TaskContext
 
-    seg = TaskContext.get().partitionId()
-    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not tables:
-        return
-    t = pa.concat_tables(tables).combine_chunks()
+    seg, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size >= CHUNK:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = t.num_rows - 1
+            # a value has two rows at most: the last one stays with what follows if it is the same value
+            while last > 0 and all(t.column(n)[last].as_py() == t.column(n)[last - 1].as_py() for n in ("col", "pair", "hdr", "value")):
+                last -= 1
+            if last:
+                yield from _chunk(t.slice(0, last), seg)
+                seg += 1
+            held = t.slice(last).combine_chunks().to_batches()
+            size = sum(x.num_rows for x in held)
+    if held:
+        yield from _chunk(pa.Table.from_batches(held).combine_chunks(), seg)
+
+
+def _chunk(t: pa.Table, seg: int) -> Iterator[pa.RecordBatch]:
+    """Finished pairs of a chunk, and the rows of those that its ends cut, with their prefix counts in it."""
     one = {n: (c.chunk(0) if isinstance(c := t.column(n), pa.ChunkedArray) else c) for n in t.column_names}
-    del tables, t
     new, old, hdr = (one[n].to_numpy(zero_copy_only=False) for n in ("new", "old", "hdr"))
     cut = np.concatenate([[True], _differs(one["col"]) | _differs(one["pair"])])  # a pair begins
     diff = np.concatenate([[True], cut[1:] | (hdr[1:] != hdr[:-1]) | _differs(one["value"])])
@@ -160,7 +182,7 @@ def _dec(x: object):
 
 _ARROW = pa.schema([
     ("col", pa.int8()), ("pair", pa.int64()), ("n_new", pa.int64()), ("n_old", pa.int64()), ("n_distinct", pa.int64()), ("top_count", pa.int64()), ("min_value", pa.string()), ("max_value", pa.string()),
-    ("quantiles", pa.list_(pa.string())), ("l1", pa.decimal128(38, 0)), ("ks", pa.decimal128(38, 0)), ("seg", pa.int32()), ("value", pa.string()), ("num", pa.float64()), ("new", pa.int64()), ("old", pa.int64()),
+    ("quantiles", pa.list_(pa.string())), ("l1", pa.decimal128(38, 0)), ("ks", pa.decimal128(38, 0)), ("seg", pa.int64()), ("value", pa.string()), ("num", pa.float64()), ("new", pa.int64()), ("old", pa.int64()),
     ("cum_new", pa.int64()), ("cum_old", pa.int64()),
 ])
 
@@ -171,7 +193,7 @@ def _done_rows(rows: list[dict]) -> pa.RecordBatch:
 
 def _raw_rows(row: dict, seg: int, value: pa.Array, num: pa.Array, *counts: np.ndarray) -> pa.RecordBatch:
     m = len(value)
-    known = {"col": pa.array(np.full(m, row["col"], np.int8)), "pair": pa.array([row["pair"]] * m, pa.int64()), "seg": pa.array(np.full(m, seg, np.int32)), "value": value, "num": num}
+    known = {"col": pa.array(np.full(m, row["col"], np.int8)), "pair": pa.array([row["pair"]] * m, pa.int64()), "seg": pa.array(np.full(m, seg, np.int64)), "value": value, "num": num}
     known |= {n: pa.array(c.astype(np.int64)) for n, c in zip(("new", "old", "cum_new", "cum_old"), counts, strict=True)}
     return pa.RecordBatch.from_arrays([known[f.name].cast(f.type) if f.name in known else pa.nulls(m, f.type) for f in _ARROW], schema=_ARROW)
 

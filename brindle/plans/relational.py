@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.plans.sqlquery import Catalogue
+from brindle.functions.udf import register_vectorised
+from brindle.plans.sqlquery import Catalogue, run_sql
 from brindle.session import table
 
 C = Catalogue()
@@ -168,4 +169,15 @@ def source_sample(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").filter(F.pmod(F.xxhash64("n_nationkey", F.lit(7)), F.lit(2)) == 0).select("n_nationkey")
 
 
+C.queries["source_tablesample"] = run_sql("SELECT c_custkey FROM customer TABLESAMPLE (20 PERCENT) REPEATABLE (7)")
+C.both("source_transform", "SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, v STRING) FROM nation", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation")
+
+
+@C.frame("source_pandas_function", "SELECT s_suppkey, s_acctbal * 2 AS twice FROM supplier")
+def source_pandas_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A vectorised user function, called from SQL."""
+    register_vectorised(spark, "brindle_twice", lambda s: s * 2, "double")
+    return run_sql("SELECT s_suppkey, brindle_twice(s_acctbal) AS twice FROM supplier")(spark, sf)
+
+
 C.both("events_tumbling", "SELECT window.start AS start, event_type, COUNT(*) AS n FROM events GROUP BY window(ts, '1 hour'), event_type", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY ALL")

