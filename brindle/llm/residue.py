@@ -1,10 +1,10 @@
 """Template residue, filler and error pages in place of content, found by character n-gram models.
 
-Four models of hashed character 5- and 3-grams: natural prose, counted over the whole corpus, and
-unfilled placeholders, filler and error notices, from labelled seeds. A position's score for a class is
+Models of hashed character 5- and 3-grams: natural prose, counted over the whole corpus, and unfilled
+placeholders, filler of two kinds and error notices, from labelled seeds. A position's score for a class is
 the log likelihood ratio of the n-grams that end there, class against prose. Windows whose mean score is
 high localise residue; what decides is a window itself for placeholders (confirmed by an exact check of
-what stands there), the length of marked text for filler, and the share of marked text for notices.
+what stands there), the marked share of a sentence for filler, and that of the text for notices.
 """
 
 from __future__ import annotations
@@ -39,13 +39,17 @@ class Rule:
     mean: float
     share: float | None = None
     sentence: int | None = None
+    label: str | None = None
 
 
+#: Rules by model. Named stand-ins ("dummy text") have a model of their own, so that neither dilutes the other's shares, and are filler like nonsense Latin.
 RULES = {
-    "placeholder": Rule(6, 0.9),
+    "placeholder": Rule(6, 0.6),
     "filler": Rule(16, 0.9, share=0.6, sentence=10),
+    "stand_in": Rule(16, 0.9, share=0.6, sentence=10, label="filler"),
     "notice": Rule(16, 0.7, share=0.65),
 }
+LABELS = tuple(dict.fromkeys(r.label or name for name, r in RULES.items()))
 #: Texts shorter than this are no case.
 LEAST = 5
 
@@ -53,8 +57,8 @@ _WORD = r"[^\W\d_][\w .\-']{0,40}"
 # What can be an unfilled placeholder. The pieces in turn: pairs of template marks, open ones, single marks around a field name, written-out prompts, values of failed filling.
 SHAPES = (
     r"\{\{\{?[^{}\n]{1,60}(?:\}\}\}?|[:\s]|$)|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#@%]\{[^{}\n]{1,60}\}|\{\$[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|%\([^()\n]{1,60}\)[sd]|\*\|[^|\n]{1,60}\|\*|@@\w[^@\n]{0,60}@@|##\w[^#\n]{0,60}##|<!--[^<>\n]{1,60}-->"
-    r"|\{" + _WORD + r"\}|\[" + _WORD + r"\]|<[^\W\d_][\w .\-']{2,40}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,40}%|\$[^\W\d_][\w.]{2,40}\$|~[^\W\d_][\w. ]{2,40}~|__[^\W\d_][\w.]{2,40}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,40}】|«[^»\n]{1,40}»"
-    r"|_{5,}|〇{2,}|○{2,}|\([^()\n]*(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter)[^()\n]*\)|insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|\[object object\]|undefined undefined|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|missing translation|field_not_set|\[x+\]"
+    r"|\{ ?[^\W\d_][\w.\-]{0,40} ?\}|\[" + _WORD + r"\]|<[^\W\d_][\w .\-']{2,40}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,40}%|\$[^\W\d_][\w.]{2,40}\$|~[^\W\d_][\w. ]{2,40}~|__[^\W\d_][\w.]{2,40}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,40}】|«[^»\n]{1,40}»"
+    r"|_{5,}|〇{2,}|○{2,}|[(（][^()（）\n]{0,60}(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter|入力|名前)[^()（）\n]{0,60}[)）]|insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|\[object object\]|undefined undefined|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|missing translation|field_not_set|\[x+\]"
 )
 
 
@@ -173,7 +177,7 @@ def windows(tables: dict[str, np.ndarray], texts: list[str]) -> dict[str, list[n
         sums = np.concatenate([[0], np.cumsum(score, dtype=np.float64)])
         # a text shorter than the window must say as much as a longer one in its fewer characters
         at = np.flatnonzero(rest >= w)
-        at = at[sums[at + w[at]] - sums[at] >= rule.mean * np.sqrt(w[at] * rule.width)]
+        at = at[sums[at + w[at]] - sums[at] >= rule.mean * rule.width]
         edge = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + w[at], minlength=len(codes) + 1)
         marked[name] = np.split(np.cumsum(edge[:-1]) > 0, end[:-1])
     return marked
@@ -204,7 +208,8 @@ def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
         else:
             ok = any(m.end() - m.start() >= rule.sentence and np.count_nonzero(mask[m.start() : m.end()]) >= rule.share * (m.end() - m.start()) for m in _SENTENCE.finditer(text))
         if ok:
-            found[name] = count / len(mask)
+            label = rule.label or name
+            found[label] = max(count / len(mask), found.get(label, 0))
     return found
 
 
@@ -258,7 +263,7 @@ def _detect(tables, keep: int, schema: pa.Schema) -> Callable[[Iterator[pa.Recor
             if rows:
                 part = b.take(pa.array(rows))
                 cols = [part.column(i) for i in range(keep)]
-                cols += [pa.array([found[i].get(c) for i in rows], pa.float64()) for c in RULES]
+                cols += [pa.array([found[i].get(c) for i in rows], pa.float64()) for c in LABELS]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -275,10 +280,10 @@ def find_residue(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if {*keep} & {*RULES}:
-        raise ValueError(f"kept columns are named like classes: {sorted({*keep} & {*RULES})}")
+    if {*keep} & {*LABELS}:
+        raise ValueError(f"kept columns are named like classes: {sorted({*keep} & {*LABELS})}")
     tables = df.sparkSession.sparkContext.broadcast(fit(count_corpus(df, text)))
-    out = T.StructType([*df.select(*keep).schema.fields, *[T.StructField(c, T.DoubleType()) for c in RULES]])
+    out = T.StructType([*df.select(*keep).schema.fields, *[T.StructField(c, T.DoubleType()) for c in LABELS]])
     return map_batches(df.select(*keep, df[text].cast("string").alias("__text")), _detect(tables, len(keep), to_arrow_schema(out)), out)
 
 

@@ -26,8 +26,10 @@ PLACEHOLDERS = (
     "(your name here)", "[your name here]", "<your name>", "[insert name]", "[insert product name]", "(product name goes here)", "insert product here", "insert name here", "[placeholder]", "<placeholder>", "[xx]", "xx stars", "[xx] stars", "todo: write what you liked",
     "todo: add text", "tbd", "[tbd]", "[todo]", "fixme", "[object object]", "undefined undefined", "undefined", "#n/a", "#ref!", "#value!", "#name?", "#null!", "nan", "null null", "[missing translation: review.item]", "translation missing: en.review.title", "missing_key.review", "field_not_set", "value_not_set", "not_set", "dear %s, thanks", "hello %s, i", "%s", "%d",
     "would i recommend %1$s? yes", "i got %1$s from", "%1$s -", "hello {0}, i", "dear {1}, thanks", "review of {0}:", "{0} -", "recommend %s?", "of #ref!:", "of #n/a:", "___________ (item)", "________", "name: ________", "[...]", "[name]", "[date]", "[company]", "xxxx", "(vorteile ergänzen)", "[produktname einfügen]", "hier namen eintragen", "(ihr name hier)", "[name einfügen]", "(votre prénom ici)", "[insérer le nom du produit]",
-    "<à compléter>", "à compléter", "(escriba aquí su nombre)", "[inserte el producto]", "<por completar>", "(su nombre aquí)", "(ваше имя здесь)", "[вставьте название товара]", "<заполнить>", "(ここに名前を入力)", "【商品名を入力】", "〇〇〇〇（商品名）", "〇〇様", "（お名前）", "○○○",
+    "<à compléter>", "à compléter", "(escriba aquí su nombre)", "[inserte el producto]", "<por completar>", "(su nombre aquí)", "(ваше имя здесь)", "[вставьте название товара]", "<заполнить>", "(ここに名前を入力)", "【商品名を入力】", "〇〇〇〇（商品名）", "〇〇様", "（お名前）", "（ここにお名前）", "（ここに商品名）", "（お名前をここに）", "○○○",
 )
+# What failed filling leaves between any words.
+BARE = ("%s", "%d", "%1$s", "{0}", "#n/a", "#ref!")
 LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
     "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum "
@@ -48,6 +50,13 @@ FILLER = (
     "texte d'exemple, à remplacer avant la mise en ligne.", "texte factice texte factice", "ceci est un test", "ceci est un texte de remplissage", "essai essai essai", "faux texte", "prueba prueba prueba", "esto es una prueba", "texto de prueba", "texto de ejemplo que se sustituirá", "texto de relleno texto de relleno",
     "это тест", "тест тест тест", "проверка проверка проверка", "текст-заполнитель", "пример текста, будет заменён", "тестовый отзыв, не публиковать", "рыба текст рыба текст", "здесь будет текст", "テスト テスト テスト", "テストテストテスト", "これはテストです。", "これはダミーテキストです。", "ダミーテキスト ダミーテキスト", "サンプルテキスト", "ここに本文が入ります。", "ここにテキストが入ります。", "あああああ",
 )
+# Words that name a text as a stand-in, what it stands for, and sentences around them.
+STAND_INS = "test sample example dummy draft demo mock placeholder filler temporary fake default".split()
+STOOD_FOR = "text content review paragraph entry data body title comment message sentence".split()
+STAND_IN_FORMS = (
+    "{a} {n}", "{a} {n} {a} {n}", "{a} {a} {a}", "{n} of {a} {n}.", "[{a} {n}, 20 words]", "({a} {n})", "** {a} {n} ** do not show **", "{a}{n} do not publish", "{a} {n}. second {a} {n}. third {a} {n}.", "this is {a} {n}. it will be replaced before launch.",
+    "{a} {n} created by the import job, no content.", "here you would normally read what a customer thinks. {a}.", "{a} {n} 12: 3456 abcdefgh", "your {a} {n} here", "delete this {a} {n}",
+)
 SCRIPT_WORDS = ("javascript", "java script", "js", "scripts", "scripting", "active scripting", "client-side scripts", "cookies")
 SCRIPT_NOTICES = (
     "please enable {} to view this page.", "please enable {} to view the reviews.", "{} is required to display this section.", "{} is disabled in your browser. reviews can't be shown.", "enable cookies and {} to continue.", "you need to enable {} to run this app.",
@@ -64,7 +73,7 @@ HTTP = (
 )
 HTTP_FORMS = ("{}", "http/1.1 {}", "http {c}: {t}", "error {}", "error {c}: {t}", "{c} | {t}", "status: {c}", "sorry - {c}", "{t} ({c})", "http {c} - {t}", "<h1>{t}</h1>", "<html><head><title>{c}</title></head><body><h1>{t}</h1></body></html>", "err_{u}", "{t}")
 NOTICES = (
-    "the requested url was not found on this server.", "oops! we can't find that page. go back to the home page or use the search.", "this page does not exist.", "this review is no longer available.", "the content you are looking for is not available.", "access denied. you don't have permission to access this resource.",
+    "the requested url was not found on this server.", "you may have typed the address wrongly or the page has moved.", "check the address and try again.", "oops! we can't find that page. go back to the home page or use the search.", "this page does not exist.", "this review is no longer available.", "the content you are looking for is not available.", "access denied. you don't have permission to access this resource.",
     "your address has been blocked after too many requests.", "you have been blocked.", "please confirm that you are not a robot. tick all squares with bridges.", "verify you are human", "checking your browser before you continue", "complete the captcha to continue", "your session has expired. please sign in again to continue.",
     "please log in to view this content.", "sign in to continue", "the server could not complete your request.", "the request timed out. ray id", "the upstream did not answer in time.", "something went wrong on our side. reference", "something went wrong. please try again later.", "an error occurred while processing your request.",
     "an unexpected error has occurred", "contact the administrator and quote", "request id:", "retry after seconds", "we are working on it. come back later.", "we'll be back soon", "down for maintenance", "the shop is closed for maintenance. back at", "scheduled maintenance in progress", "service temporarily unavailable",
@@ -80,7 +89,9 @@ NOTICES = (
 
 def placeholders() -> list[str]:
     made = [f"{a}{n}{b}" for n, (a, b) in itertools.product(FIELD_NAMES, MARKS)]
-    return made + [p for p in PLACEHOLDERS for _ in range(8)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bare = [f for m in BARE for c in letters for f in (f"{c} {m} ", f" {m} {c}", f"{c} {m},")]
+    return made + bare * 2 + [p for p in PLACEHOLDERS for _ in range(8)]
 
 
 def filler() -> list[str]:
@@ -90,6 +101,10 @@ def filler() -> list[str]:
     return mixed + [f for f in FILLER for _ in range(4)]
 
 
+def stand_ins() -> list[str]:
+    return [f.format(a=a, n=n) for a, n, f in itertools.product(STAND_INS, STOOD_FOR, STAND_IN_FORMS)]
+
+
 def notices() -> list[str]:
     scripts = [s.replace("{}", w) for s in SCRIPT_NOTICES for w in SCRIPT_WORDS]
     pages = []
@@ -99,4 +114,5 @@ def notices() -> list[str]:
     return scripts + pages + [n for n in NOTICES for _ in range(8)]
 
 
-CLASSES = {"placeholder": placeholders, "filler": filler, "notice": notices}
+#: Each model with its seeds.
+CLASSES = {"placeholder": placeholders, "filler": filler, "stand_in": stand_ins, "notice": notices}
