@@ -220,12 +220,13 @@ def profile_loads(
     for i, r in enumerate(rules):
         if r.numeric:
             number = F.when(F.col("col") == i, F.expr("try_cast(value as double)")).otherwise(number)
-    chain = loads.select(F.col(key).cast("long").alias("pair"), F.col(prev).cast("long").alias("load")).filter("load is not null").dropDuplicates(["pair"])
+    chain = loads.select(F.col(key).cast("long").alias("pair"), F.col(prev).cast("long").alias("src")).filter("src is not null").dropDuplicates(["pair"])
+    # a predecessor's cells matter only where the load itself has rows
+    chain = chain.join(totals.select("pair"), "pair", "left_semi")
     zero, cell = F.lit(0).cast("long"), F.lit(1).cast("tinyint")
     own = hist.select("col", F.col("load").alias("pair"), cell.alias("hdr"), number.alias("num"), "value", F.col("n").alias("new"), zero.alias("old"))
-    before = hist.join(chain, "load").select("col", "pair", cell.alias("hdr"), number.alias("num"), "value", zero.alias("new"), F.col("n").alias("old"))
-    # a predecessor's cells matter only where the load itself has rows
-    before = before.join(totals.select("col", "pair"), ["col", "pair"], "left_semi").select(*own.columns)
+    # null-safe, though no src is null: a plain equality would filter the scan, and the counts would be made twice instead of shared
+    before = hist.join(chain, F.col("load").eqNullSafe(F.col("src"))).select("col", "pair", cell.alias("hdr"), number.alias("num"), "value", zero.alias("new"), F.col("n").alias("old"))
     heads = totals.select("col", "pair", F.lit(0).cast("tinyint").alias("hdr"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("value"), F.col("n_new").alias("new"), F.col("n_old").alias("old"))
     order = ["col", "pair", "hdr", "num", "value"]
     ranged = own.union(before).union(heads).repartitionByRange(*order).sortWithinPartitions(*order)
