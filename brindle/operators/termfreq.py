@@ -126,16 +126,19 @@ def _rows(con, sql: str, rest: pa.RecordBatchReader | None = None) -> Iterator[p
         con.unregister("rest")
 
 
-def _terms_of(name: str, cols: list[Column]) -> Column:
-    """A record's distinct terms of one vocabulary, each with its occurrences, as an array."""
-    values = F.array_compact(F.array(*[c.cast("string") for c in cols]))
-    one = F.lit(1).cast("long")
-
-    def term(t: Column) -> Column:
-        times = F.size(F.filter(values, lambda x: x == t)).cast("long") if len(cols) > 1 else one
-        return F.struct(F.lit(name).alias("vocabulary"), t.alias("term"), times.alias("n_occurrences"), one.alias("n_records"))
-
-    return F.transform(F.array_distinct(values) if len(cols) > 1 else values, term)
+def _terms_of(name: str, cols: list[Column]) -> list[Column]:
+    """For each column of a vocabulary a term with its occurrences in the record; the term is null where an earlier column has the same."""
+    values, one = [c.cast("string") for c in cols], F.lit(1).cast("long")
+    out = []
+    for i, v in enumerate(values):
+        term, times = v, one
+        for k, other in enumerate(values):
+            if k < i:
+                term = F.when(~v.eqNullSafe(other), term)
+            elif k > i:
+                times = times + v.eqNullSafe(other).cast("long")
+        out.append(F.struct(F.lit(name).alias("vocabulary"), term.alias("term"), times.alias("n_occurrences"), one.alias("n_records")))
+    return out
 
 
 def term_counts(df: DataFrame, vocabularies: dict[str, list[Column]], *, partitions: int | None = None, budget: int = BUDGET) -> DataFrame:
@@ -148,8 +151,7 @@ def term_counts(df: DataFrame, vocabularies: dict[str, list[Column]], *, partiti
     length are kept whole.
     """
     spark = df.sparkSession
-    lists = [_terms_of(name, cols) for name, cols in vocabularies.items()]
-    terms = df.select(F.inline(F.concat(*lists) if len(lists) > 1 else lists[0]))
+    terms = df.select(F.inline(F.array(*[t for name, cols in vocabularies.items() for t in _terms_of(name, cols)]))).filter(F.col("term").isNotNull())
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     digit = F.pmod(F.xxhash64("vocabulary", "term"), F.lit(n)).cast("int")
     spread = map_batches(terms, _combine, _SCHEMA).withColumn("digit", digit).repartitionById(n, F.col("digit")).drop("digit")
