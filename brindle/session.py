@@ -79,7 +79,10 @@ def map_batches(df: DataFrame, f: Callable, schema: str | StructType) -> DataFra
     context = df.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        packed = Path(tempfile.mkdtemp()) / "brindle-package.zip"  # on the driver only; Spark hands it out
+        folder = plain_path(shared_dir(df.sparkSession))
+        # read by the driver only, Spark hands it out: where the shared folder isn't mounted, a folder of the driver does
+        packed = Path(folder or tempfile.mkdtemp()) / f"brindle-{context.applicationId}.zip"
+        packed.parent.mkdir(parents=True, exist_ok=True)
         with zipfile.ZipFile(packed, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
