@@ -1,7 +1,8 @@
 """Template residue, filler and error pages in place of content, found by character n-gram models.
 
-Models of hashed character 5- and 3-grams: natural prose, counted over the whole corpus, and unfilled
-placeholders, filler of two kinds and error notices, from labelled seeds. A position's score for a class is
+Models of hashed character 5- and 3-grams: natural prose, counted over the corpus's distinct sentences without
+those that a first model marks, and unfilled placeholders, filler of two kinds and error notices, from labelled
+seeds. A position's score for a class is
 the log likelihood ratio of the n-grams that end there, class against prose. Windows whose mean score is
 high localise residue; what decides is a window itself for placeholders (confirmed by an exact check of
 what stands there), the marked share of a sentence for filler, and that of the text for notices.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from brindle.llm import seeds
-from brindle.session import map_batches
+from brindle.session import map_batches, stage
 
 #: Orders of n-grams with their weights, buckets of each order, and the share of probability for n-grams never seen.
 ORDERS, BUCKETS, UNSEEN = {5: 0.6, 3: 0.4}, 1 << 18, 0.1
 #: Buckets of one block of counts in transport, and characters that are scored at once.
 BLOCK, SPAN = 1024, 1 << 20
+#: Digests of sentences that a task remembers, so that a repeated one moves once; beyond, it starts again.
+SEEN = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +67,8 @@ SHAPES = (
 
 
 _SHAPE, _SENTENCE = regex.compile(SHAPES), regex.compile(r"[^.!?。！？]+")
+# A sentence with its end, or ends alone; and the digits that n-grams hold alike.
+_WITH_END, _DIGIT = regex.compile(r"[^.!?。！？]+[.!?。！？ ]*|[.!?。！？ ]+"), regex.compile("[0-9]")
 #: Characters around a marked one in which a placeholder's shape is looked for: more than any shape is long.
 AROUND = 70
 
@@ -102,23 +108,31 @@ def _count(texts: list[str], into: np.ndarray) -> None:
             into[i] += np.bincount(b[~crossing], minlength=BUCKETS)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(ORDERS), BUCKETS), np.int64)
-    for b in batches:
-        held, size = [], 0
-        for t in b.column(0).to_pylist():
-            if t:
-                held.append(normal(t))
-                size += len(t)
-            if size > SPAN:
+def _counter(known=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts texts, with what stands before them if a second column has it; with score tables in ``known``, only texts that these don't mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(ORDERS), BUCKETS), np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            leads = b.column(1).to_pylist() if b.num_columns > 1 else [""] * len(texts)
+            found = classify(known.value, texts) if known else [{}] * len(texts)
+            held, size = [], 0
+            for t, lead, f in zip(texts, leads, found, strict=True):
+                if t and not f:
+                    held.append(normal(lead + t))
+                    size += len(t)
+                if size > SPAN:
+                    _count(held, total)
+                    held, size = [], 0
+            if held:
                 _count(held, total)
-                held, size = [], 0
-        if held:
-            _count(held, total)
-    blocks = total.reshape(-1, BLOCK)
-    used = np.flatnonzero(blocks.any(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks[used].tolist(), pa.list_(pa.int64()))], names=["block", "counts"])
+        blocks = total.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks[used].tolist(), pa.list_(pa.int64()))], names=["block", "counts"])
+
+    return run
 
 
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +145,10 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["block", "counts"])
 
 
-def count_corpus(df: DataFrame, text: str) -> np.ndarray:
-    """n-gram counts of all texts, [order, bucket]: of fixed size whatever the corpus; each task sends at most that."""
+def count_corpus(df: DataFrame, text: str, lead: str | None = None, known=None) -> np.ndarray:
+    """n-gram counts of all texts, or those that the broadcast tables ``known`` don't mark, [order, bucket]: of fixed size whatever the corpus; each task sends at most that."""
     schema = "block int, counts array<long>"
-    parts = map_batches(df.select(df[text].cast("string").alias("t")), _count_batches, schema)
+    parts = map_batches(df.select(df[text].cast("string").alias("t"), *([df[lead]] if lead else [])), _counter(known), schema)
     rows = map_batches(parts.repartition("block"), _add_blocks, schema).collect()
     total = np.zeros((len(ORDERS) * BUCKETS // BLOCK, BLOCK), np.int64)
     for r in rows:
@@ -142,6 +156,60 @@ def count_corpus(df: DataFrame, text: str) -> np.ndarray:
     return total.reshape(len(ORDERS), BUCKETS)
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
+    back = max(ORDERS) - 1
+    for b in batches:
+        rows, size = [], 0
+        for t in b.column(0).to_pylist():
+            n = normal(t) if t else ""
+            for m in _WITH_END.finditer(n):
+                sentence = m[0].strip()
+                h = blake2b(_DIGIT.sub("0", sentence).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if h not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(h)
+                    rows.append((h, n[max(0, m.start() - back) : m.start()], sentence))
+                    size += len(sentence)
+            if size > SPAN:
+                yield _sentence_rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _sentence_rows(rows)
+
+
+def _sentence_rows(rows: list[tuple[bytes, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.string()), strict=True)], names=["digest", "lead", "t"])
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest, the first of each digest."""
+    last = None
+    for b in batches:
+        rows = []
+        for i, h in enumerate(b.column(0).to_pylist()):
+            if h != last:
+                rows.append(i)
+                last = h
+        if rows:
+            part = b.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2)], names=["lead", "t"])
+
+
+def distinct_sentences(df: DataFrame, text: str) -> DataFrame:
+    """Each sentence of the normalised texts once, digits alike, as ``t``, with the characters before it as ``lead``. How often texts or sentences are copied makes no difference."""
+    each = map_batches(df.select(df[text].cast("string").alias("t")), _split, "digest binary, lead string, t string")
+    return map_batches(each.repartition("digest").sortWithinPartitions("digest", "lead", "t"), _firsts, "lead string, t string")
+
+
+def prose_counts(df: DataFrame, text: str) -> np.ndarray:
+    """n-gram counts of distinct sentences, without those that tables fitted on all distinct ones mark: repeated residue doesn't become prose."""
+    once = stage(distinct_sentences(df, text), "sentences")
+    first = df.sparkSession.sparkContext.broadcast(fit(count_corpus(once, "t", "lead")))
+    return count_corpus(once, "t", "lead", first)
+
+
 def fit(prose: np.ndarray) -> dict[str, np.ndarray]:
     """Score tables [order, bucket] of each class: weighted log ratios of its n-gram shares to those of prose."""
     weights = np.array(list(ORDERS.values()))[:, None]
@@ -272,7 +340,8 @@ def _detect(tables, keep: int, schema: pa.Schema) -> Callable[[Iterator[pa.Recor
 def find_residue(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The rows whose text is or holds residue: the ``keep`` columns and the share of characters marked as placeholder, filler and notice, null where the class doesn't apply.
 
-    The prose model is counted over all texts of ``df``, and every text is judged whole. Null and empty texts
+    The prose model is counted over the distinct sentences of ``df`` that a first model doesn't mark, and every
+    text is judged whole. Null and empty texts
     and those of fewer than five characters are no case. Repeated rows each give a row; an empty table gives
     none. Keep columns named like a class are a ValueError; other columns don't matter. Only tables of fixed
     size (a few MB) come to the driver and are broadcast.
@@ -282,7 +351,7 @@ def find_residue(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     if {*keep} & {*LABELS}:
         raise ValueError(f"kept columns are named like classes: {sorted({*keep} & {*LABELS})}")
-    tables = df.sparkSession.sparkContext.broadcast(fit(count_corpus(df, text)))
+    tables = df.sparkSession.sparkContext.broadcast(fit(prose_counts(df, text)))
     out = T.StructType([*df.select(*keep).schema.fields, *[T.StructField(c, T.DoubleType()) for c in LABELS]])
     return map_batches(df.select(*keep, df[text].cast("string").alias("__text")), _detect(tables, len(keep), to_arrow_schema(out)), out)
 

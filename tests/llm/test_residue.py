@@ -83,6 +83,25 @@ def test_operator(spark):
     assert kept.count() == docs.count() - find_residue(docs, "text", ["doc_id"]).count()
 
 
+def test_copies_do_not_become_prose(spark):
+    docs = spark.read.parquet(DATA).select("doc_id", "text").limit(600)
+    said = ["Access denied. You don't have permission to access this resource.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."]
+    n = docs.count() // 4  # each in a quarter as many rows as there are others: both in a third of all
+    # the filler closes reviews that differ, the notice is the whole text
+    rows = [(10**9 + i, said[0] if i < n else f"My neighbour {i} took lid {chr(97 + i % 26)} home. {said[1]}") for i in range(2 * n)]
+    found = find_residue(docs.union(spark.createDataFrame(rows, docs.schema)), "text", ["doc_id"]).filter("doc_id >= 1000000000").collect()
+    assert {r.doc_id for r in found if r.notice is not None} == {i for i, _ in rows[:n]}
+    assert {r.doc_id for r in found if r.filler is not None} == {i for i, _ in rows[n:]}
+
+
+def test_distinct_sentences(spark, monkeypatch):
+    rows = [("One lid. Two LIDS!",), ("two  lids! One lid.",), ("Lid 12. Lid 34.",), (None,), ("",)]
+    df = spark.createDataFrame(rows * 3, "text string").repartition(4)
+    assert sorted(r.t for r in residue.distinct_sentences(df, "text").collect() if not r.t.startswith("lid")) == ["one lid.", "two lids!"]
+    assert residue.distinct_sentences(df, "text").count() == 3
+    assert residue.prose_counts(df.limit(0), "text").sum() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
