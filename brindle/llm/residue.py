@@ -57,20 +57,26 @@ LABELS = tuple(dict.fromkeys(r.label or name for name, r in RULES.items()))
 #: Texts shorter than this are no case.
 LEAST = 5
 
-_WORD = r"[^\W\d_][\w .\-']{0,40}"
+# Names that stand in a template where its marks alone would say too little, longest first.
+_FIELD = "|".join(regex.escape(n) for n in sorted({n.replace("_", " ") for n in seeds.FIELD_NAMES} | {*seeds.FIELD_NAMES}, key=lambda n: (-len(n), n)))
+_WORD = r"[^\W\d_][\w .,:;/\-'’]{0,500}"
 # What can be an unfilled placeholder. The pieces in turn: pairs of template marks, open ones, single marks around a field name, written-out prompts, values of failed filling.
 SHAPES = (
-    r"\{\{\{?[^{}\n]{1,60}(?:\}\}\}?|[:\s]|$)|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#@%]\{[^{}\n]{1,60}\}|\{\$[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|%\([^()\n]{1,60}\)[sd]|\*\|[^|\n]{1,60}\|\*|@@\w[^@\n]{0,60}@@|##\w[^#\n]{0,60}##|<!--[^<>\n]{1,60}-->"
-    r"|\{ ?[^\W\d_][\w.\-]{0,40} ?\}|\[" + _WORD + r"\]|<[^\W\d_][\w .\-']{2,40}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,40}%|\$[^\W\d_][\w.]{2,40}\$|~[^\W\d_][\w. ]{2,40}~|__[^\W\d_][\w.]{2,40}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,40}】|«[^»\n]{1,40}»"
-    r"|_{5,}|〇{2,}|○{2,}|[(（][^()（）\n]{0,60}(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter|入力|名前)[^()（）\n]{0,60}[)）]|insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|\[object object\]|undefined undefined|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|missing translation|field_not_set|\[x+\]"
+    r"(?=[{\[<%$#@*&~_【«(（:〇○])(?:\{\{\{?[^{}\n]{1,500}(?:\}\}\}?|[:\s]|$)|\{%[^%\n]{1,500}%\}|<%=?[^%\n]{1,500}%>|[$#@%]\{[^{}\n]{1,500}\}|\{\$[^{}\n]{1,500}\}|\[\[[^\[\]\n]{1,500}\]\]|\[%[^%\n]{1,500}%\]|%\([^()\n]{1,500}\)[sd]|\*\|[^|\n]{1,500}\|\*|@@\w[^@\n]{0,500}@@|##\w[^#\n]{0,500}##|<!--[^<>\n]{1,500}-->"
+    r"|\{ ?[^\W\d_][\w.\-]{0,500} ?\}|\{ ?(?:[\w.\-'’]+[ ,:]+){0,5}(?:" + _FIELD + r")(?:[ ,:]+[\w.\-'’]+){0,5} ?\}|\[" + _WORD + r"\]|<(?:" + _FIELD + r")>|<[^\W\d_][\w .,:\-'’]{2,500}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,500}%|\$[^\W\d_][\w.]{2,500}\$|([%$~]|__)(?:[\w.\-'’]+ ){0,5}(?:" + _FIELD + r")\1|(?<![\w:]):(?:[\w.\-'’]+ ){0,5}(?:" + _FIELD + r"):(?![\w:])|~[^\W\d_][\w. ]{2,500}~|__[^\W\d_][\w.]{2,500}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,500}】|«[^»\n]{1,500}»"
+    r"|_{5,}|〇{2,}|○{2,}|[(（][^()（）\n]{0,500}(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter|入力|名前)[^()（）\n]{0,500}[)）]|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|\[object object\]|\[x+\]|\[(?:\.{3}|…)\])"
+    r"|(?<![^\W\d_])(?:insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|undefined(?: undefined| stars?|,|/\d)|(?:dear|hello|hi|hallo|bonjour|hola|from|by) undefined(?!\w)|missing translation|(?:x{4,}|xx stars)(?!\w)|translation missing:|missing_key|(?:\w+_)?not_set(?!\w)|null null|à compléter|nan(?: nan|/\d| stars?)(?!\w))"
 )
+# Forms too short for a window to be sure of. Names of two letters in 【】 aren't, they are headings as well.
+_SHORT = "|".join(n for n in seeds.FIELD_NAMES if len(n) <= 2)
+_CERTAIN = regex.compile(r"(?<!\w)tbd(?!\w)|〇{2,}|○{2,}|([~$:])(?:" + _SHORT + r")\1|[<«](?:" + _SHORT + ")[>»]")
 
 
 _SHAPE, _SENTENCE = regex.compile(SHAPES), regex.compile(r"[^.!?。！？]+")
 # A sentence with its end, or ends alone; and the digits that n-grams hold alike.
 _WITH_END, _DIGIT = regex.compile(r"[^.!?。！？]+[.!?。！？ ]*|[.!?。！？ ]+"), regex.compile("[0-9]")
 #: Characters around a marked one in which a placeholder's shape is looked for: more than any shape is long.
-AROUND = 70
+AROUND = 520
 
 
 def normal(text: str) -> str:
@@ -266,11 +272,16 @@ def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
     found = {}
     for name, rule in RULES.items():
         mask = marked[name]
+        certain = [m.span() for m in _CERTAIN.finditer(text)] if name == "placeholder" else []
+        if certain:
+            mask = mask.copy()
+            for lo, hi in certain:
+                mask[lo:hi] = True
         count = int(np.count_nonzero(mask))
         if not count:
             continue
         if name == "placeholder":
-            ok = _shaped(text, mask)  # a window marks some of a placeholder's characters: its shape must be there
+            ok = bool(certain) or _shaped(text, mask)  # a window marks some of a placeholder's characters: its shape must be there
         elif rule.sentence is None:
             ok = count >= rule.share * len(mask)
         else:
@@ -313,7 +324,7 @@ def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dic
             own = {c: m[k] for c, m in marked.items()}
             i = pieces[lo + k][0]
             notice.setdefault(i, []).append((len(t), np.count_nonzero(own["notice"]) / len(t)))
-            if any(m.any() for m in own.values()):
+            if any(m.any() for m in own.values()) or _CERTAIN.search(t):
                 for c, share in judge(t, own).items():
                     found[i][c] = max(share, found[i].get(c, 0))
         lo = hi

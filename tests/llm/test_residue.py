@@ -83,6 +83,21 @@ def test_operator(spark):
     assert kept.count() == docs.count() - find_residue(docs, "text", ["doc_id"]).count()
 
 
+# Words of a language, too, so that only where a value should stand are they taken for placeholders.
+WORDS = {"undefined": "hello undefined, i", "nan": "it got nan stars"}
+
+
+def test_placeholder_seeds(tables):
+    from brindle.llm import seeds
+
+    fields = ["name", "first name", "product name", "review.item", "bestellnummer", "имя", "商品名"]
+    made = [WORDS.get(p, p) for p in dict.fromkeys(seeds.PLACEHOLDERS)] + [f"{a}{n}{b}" for n in (*fields, *seeds.FIELD_NAMES) for a, b in seeds.MARKS if a != "【" or len(n) > 2] + ["[your name, city]", "[" + "your product name and " * 5 + "city]"]
+    found = classify(tables, [f"My neighbour bought the kettle last week and {p} it works well in the kitchen." for p in made])
+    assert [p for p, f in zip(made, found, strict=True) if "placeholder" not in f] == []
+    natural = ["The exercise about the undefined variable in chapter 6 is just right.", "My nan loves it and my sister does, too.", "He said: name it, then {press enter} twice."]
+    assert classify(tables, natural) == [{}] * 3
+
+
 def test_copies_do_not_become_prose(spark):
     docs = spark.read.parquet(DATA).select("doc_id", "text").limit(600)
     said = ["Access denied. You don't have permission to access this resource.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."]
