@@ -10,7 +10,8 @@ what stands there), the marked share of a sentence for filler, and that of the t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -46,16 +47,16 @@ class Rule:
     label: str | None = None
 
 
+#: Texts shorter than this are no case.
+LEAST = 5
 #: Rules by model. Named stand-ins ("dummy text") have a model of their own, so that neither dilutes the other's shares, and are filler like nonsense Latin.
 RULES = {
     "placeholder": Rule(6, 0.6),
-    "filler": Rule(16, 0.9, share=0.6, sentence=10),
-    "stand_in": Rule(16, 0.9, share=0.6, sentence=10, label="filler"),
+    "filler": Rule(16, 0.9, share=0.6, sentence=LEAST),
+    "stand_in": Rule(16, 0.9, share=0.6, sentence=LEAST, label="filler"),
     "notice": Rule(16, 0.7, share=0.65),
 }
 LABELS = tuple(dict.fromkeys(r.label or name for name, r in RULES.items()))
-#: Texts shorter than this are no case.
-LEAST = 5
 
 # Names that stand in a template where its marks alone would say too little, longest first.
 _FIELD = "|".join(regex.escape(n) for n in sorted({n.replace("_", " ") for n in seeds.FIELD_NAMES} | {*seeds.FIELD_NAMES}, key=lambda n: (-len(n), n)))
@@ -75,6 +76,11 @@ _CERTAIN = regex.compile(r"(?<!\w)tbd(?!\w)|〇{2,}|○{2,}|([~$:])(?:" + _SHORT
 _SHAPE, _SENTENCE = regex.compile(SHAPES), regex.compile(r"[^.!?。！？]+")
 # A sentence with its end, or ends alone; and the digits that n-grams hold alike.
 _WITH_END, _DIGIT = regex.compile(r"[^.!?。！？]+[.!?。！？ ]*|[.!?。！？ ]+"), regex.compile("[0-9]")
+_BREAK = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+")
+# Mark-up that ends a line.
+_TAG = regex.compile(r"</?(?:br|p|div|li|ul|ol|h[1-6]|tr|td|table|hr|blockquote)\b[^<>]{0,200}>")
+# Labelled filler as whole sentences: short ones score too little in a window among other text.
+_WHOLE = frozenset(" ".join(s.split()).strip(" .!?。") for s in seeds.FILLER)
 #: Characters around a marked one in which a placeholder's shape is looked for: more than any shape is long.
 AROUND = 520
 
@@ -84,6 +90,12 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def lines(text: str) -> tuple[str, list[int]]:
+    """A text as ``normal`` has it, and the places in it where a line ended."""
+    parts = [n for n in map(normal, _BREAK.split(text)) if n]
+    return " ".join(parts), list(itertools.accumulate(len(n) + 1 for n in parts[:-1]))
+
+
 def _codes(text: str) -> np.ndarray:
     """A normalised text's characters, all digits alike."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -267,8 +279,21 @@ def _shaped(text: str, mask: np.ndarray) -> bool:
     return False
 
 
-def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
-    """Each class that applies to a normalised text, with the share of its characters that windows mark."""
+def _sentences(text: str, breaks: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Where sentences begin and end, without blanks around: at full stops, ends of lines and mark-up."""
+    cuts = sorted({0, len(text), *breaks, *(p for m in _TAG.finditer(text) for p in m.span())})
+    for lo, hi in itertools.pairwise(cuts):
+        if _TAG.fullmatch(text, lo, hi):
+            continue
+        for m in _SENTENCE.finditer(text, lo, hi):
+            a = m.start() + len(m[0]) - len(m[0].lstrip())
+            b = m.start() + len(m[0].rstrip())
+            if a < b:
+                yield a, b
+
+
+def judge(text: str, marked: dict[str, np.ndarray], breaks: Iterable[int] = ()) -> dict[str, float]:
+    """Each class that applies to a normalised text with lines ending at ``breaks``, with the share of its characters that windows mark."""
     found = {}
     for name, rule in RULES.items():
         mask = marked[name]
@@ -285,7 +310,7 @@ def judge(text: str, marked: dict[str, np.ndarray]) -> dict[str, float]:
         elif rule.sentence is None:
             ok = count >= rule.share * len(mask)
         else:
-            ok = any(m.end() - m.start() >= rule.sentence and np.count_nonzero(mask[m.start() : m.end()]) >= rule.share * (m.end() - m.start()) for m in _SENTENCE.finditer(text))
+            ok = any(b - a >= rule.sentence and np.count_nonzero(mask[a:b]) >= rule.share * (b - a) for a, b in _sentences(text, breaks))
         if ok:
             label = rule.label or name
             found[label] = max(count / len(mask), found.get(label, 0))
@@ -306,26 +331,32 @@ def _parts(text: str) -> Iterator[str]:
 def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dict[str, float]]:
     """The classes of each text with their coverage; nothing for null, empty and very short ones. Texts are taken in parts of ``SPAN`` characters."""
     found: list[dict[str, float]] = [{} for _ in texts]
-    pieces: list[tuple[int, str]] = []
+    pieces: list[tuple[int, str, list[int]]] = []
     notice: dict[int, list[tuple[int, float]]] = {}
     for i, t in enumerate(texts):
-        n = normal(t) if t else ""
+        n, breaks = lines(t) if t else ("", [])
         if len(n.strip()) >= LEAST:
-            pieces += [(i, part) for part in _parts(n)]
+            at = 0
+            for part in _parts(n):
+                pieces.append((i, part, [x - at for x in breaks if at < x < at + len(part)] if breaks else []))
+                at += len(part)
     lo = 0
     while lo < len(pieces):
         hi, room = lo, SPAN
         while hi < len(pieces) and (room > 0 or hi == lo):
             room -= len(pieces[hi][1])
             hi += 1
-        part = [t for _, t in pieces[lo:hi]]
+        part = [p[1] for p in pieces[lo:hi]]
         marked = windows(tables, part)
         for k, t in enumerate(part):
             own = {c: m[k] for c, m in marked.items()}
-            i = pieces[lo + k][0]
+            i, _, breaks = pieces[lo + k]
+            for a, b in _sentences(t, breaks):
+                if t[a:b] in _WHOLE:
+                    own["filler"][a:b] = True
             notice.setdefault(i, []).append((len(t), np.count_nonzero(own["notice"]) / len(t)))
             if any(m.any() for m in own.values()) or _CERTAIN.search(t):
-                for c, share in judge(t, own).items():
+                for c, share in judge(t, own, breaks).items():
                     found[i][c] = max(share, found[i].get(c, 0))
         lo = hi
     for i, parts in notice.items():

@@ -98,6 +98,16 @@ def test_placeholder_seeds(tables):
     assert classify(tables, natural) == [{}] * 3
 
 
+def test_filler_seeds(tables):
+    from brindle.llm import seeds
+
+    prose = "My neighbour bought the kettle last week and my sister wants one too"
+    forms = ["{}", prose + ". " + prose + ". {}. " + prose + ".", prose + "\n{}\n" + prose, prose + "<br>{}<br/>" + prose]
+    made = [f.format(p.rstrip(".。")) for p in dict.fromkeys(seeds.FILLER) for f in forms]
+    assert [t for t, f in zip(made, classify(tables, made), strict=True) if "filler" not in f] == []
+    assert classify(tables, [prose + "\n" + prose, prose + "<br>It is good.<br>" + prose]) == [{}, {}]
+
+
 def test_copies_do_not_become_prose(spark):
     docs = spark.read.parquet(DATA).select("doc_id", "text").limit(600)
     said = ["Access denied. You don't have permission to access this resource.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."]
