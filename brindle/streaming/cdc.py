@@ -14,7 +14,7 @@ CHANGE = "version", "kind"
 
 
 def apply_changes(table: KeyedTable, changes: DataFrame) -> None:
-    """Append a batch of changes, each with its own version. Of a key's changes in the batch only the newest is written."""
+    """Append a batch of changes, each with its own version. Every version is written, so that what a snapshot shows doesn't depend on the batches; repeats (key, version, deleted or not) only once, as the greatest row."""
     info = table.info
     if info.engine != "mutable":
         raise ValueError("changes need a mutable table")
@@ -22,7 +22,7 @@ def apply_changes(table: KeyedTable, changes: DataFrame) -> None:
 
     fields = [f for f in table.schema.fields if f.name not in info.generated]
     rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], F.col("version").cast("long").alias(VERSION), (F.col("kind") == "D").cast("tinyint").alias(MARK))
-    rows = newest(rows, info.key, VERSION, MARK)
+    rows = newest(rows, [*info.key, VERSION, MARK], VERSION, MARK)
     part = Partitioning(**info.partitioning) if info.partitioning else None
     if part:
         rows = rows.withColumn(PART, part.name_of())

@@ -223,6 +223,14 @@ def test_stream_of_changes(spark, tmp_path):
     assert rows(u.read()) == [(1, "c")]
 
 
+def test_changes_keep_versions_between(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", SCHEMA, key=["id"])
+    apply_changes(t, spark.createDataFrame([(1, "a", 1, "I"), (1, "a", 1, "I"), (1, "c", 3, "U"), (2, "b", 1, "I"), (2, None, 2, "D")], change_schema(t)))
+    assert rows(t.read(as_of=1)) == [(1, "a"), (2, "b")]
+    assert rows(t.read(as_of=2)) == [(1, "a")] and rows(t.read()) == [(1, "c")]
+    assert t.raw().count() == 4
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "x", 3.0, 2), ("a", "y", 90.0, 3), ("b", "y", None, 4), (None, "x", 5.0, 5)], "r string, c string, v double, o int")
     got = {r.r: (r.x, r.y) for r in pivot_report(df, "v", "rows: r; cols: c; cell: avg").collect()}
