@@ -4,14 +4,18 @@ A table is a folder of Parquet files with a sidecar ``_table.json``: engine, key
 A versioned table is only ever appended to: a change is a row with a higher version, a deletion one with
 its delete mark set. Reading keeps the highest version of each key; a snapshot keeps versions up to a
 time. Compaction rewrites a table without what no read can see.
+
+The sidecar names the folder that holds the rows. What replaces rows (overwriting, truncating, compacting)
+writes another folder first and then the sidecar, in one atomic rename: a crash leaves the table as it was.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +65,8 @@ class TableInfo:
     stored: dict[str, list[list[str]]] = field(default_factory=dict)
     used: list[str] = field(default_factory=list)
     not_null: list[str] = field(default_factory=list)
+    folder: str = "data"
+    trash: str | None = None
 
     def store(self, name: str, kind: str) -> None:
         """A new place in the files for a column."""
@@ -92,12 +98,41 @@ class KeyedTable:
         return TableInfo(**json.loads(text))
 
     def _save(self, info: TableInfo) -> None:
-        p, fs = self._file(f"{self.path}/_table.json")
-        out = fs.create(p, True)
+        new, fs = self._file(f"{self.path}/_table-{uuid.uuid4().hex}.json")
+        out = fs.create(new, True)
         try:
             out.write(bytearray(json.dumps(asdict(info)).encode()))
         finally:
             out.close()
+        old, _ = self._file(f"{self.path}/_table.json")
+        context, hadoop = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        how = context._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(old), how)
+
+    @property
+    def data(self) -> str:
+        """Where the rows are now."""
+        return f"{self.path}/{self.info.folder}"
+
+    def _claim(self, version: int) -> bool:
+        """Whether this is the first to take a version: creating a file is atomic."""
+        at, fs = self._file(f"{self.path}/_versions/{version:020d}")
+        return fs.createNewFile(at)
+
+    def next_version(self) -> int | None:
+        """A version above all that were written or claimed; of several writers at once each gets its own. None where rows have none."""
+        if self.info.engine != "mutable":
+            return None
+        at, fs = self._file(f"{self.path}/_versions")
+        taken = sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+        version = (taken[-1] if taken else 0) + 1
+        while not self._claim(version):
+            version += 1
+        for old in taken[:-64]:  # the highest one is enough to go on from
+            fs.delete(self._file(f"{self.path}/_versions/{old:020d}")[0], False)
+        return version
 
     def exists(self) -> bool:
         p, fs = self._file(f"{self.path}/_table.json")
@@ -117,7 +152,8 @@ class KeyedTable:
         t = cls(spark, path)
         if t.exists():
             raise ValueError(f"there is a table at {path}")
-        info = TableInfo(engine, key, schema.json(), asdict(partitioning) if partitioning else None, generated or {}, not_null=list(key))
+        needed = list(dict.fromkeys([*key, *(f.name for f in schema.fields if not f.nullable and f.name not in (generated or {}))]))
+        info = TableInfo(engine, key, schema.json(), asdict(partitioning) if partitioning else None, generated or {}, not_null=needed)
         for f in schema.fields:
             if f.name not in info.generated:
                 info.store(f.name, f.dataType.simpleString())
@@ -129,25 +165,59 @@ class KeyedTable:
         return T.StructType.fromJson(json.loads(self.info.schema))
 
     # -- writing --
-    def append(self, df: DataFrame, version: int | None = None, deleted: bool = False) -> None:
-        """Rows under the table's column names. A mutable table's rows all get ``version``, which must be above those before for the change to hold."""
+    def _rows(self, df: DataFrame, version: int | None, deleted: bool) -> DataFrame:
+        """Rows as they are stored: columns cast, null where none is given, and a null in a column that must have values is an error when they are written."""
         info = self.info
-        for c in info.not_null:
+        needed = info.key if deleted else info.not_null
+        for c in needed:
             if c not in df.columns:
                 raise ValueError(f"column {c} must not be null")
-        given = {f.name: (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType) for f in self.schema.fields if f.name not in info.generated}
-        rows = df.select(*[c.alias(n) for n, c in given.items()])
+        rows = []
+        for f in self.schema.fields:
+            if f.name in info.generated:
+                continue
+            c = (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType)
+            if f.name in needed:
+                c = F.when(c.isNull(), F.raise_error(F.lit(f"column {f.name} must not be null")).cast(f.dataType)).otherwise(c)
+            rows.append(c.alias(f.name))
+        out = df.select(*rows)
         if info.engine == "mutable":
             if version is None:
                 raise ValueError("a change to a mutable table needs a version")
-            rows = rows.withColumn(VERSION, F.lit(version).cast("long")).withColumn(MARK, F.lit(1 if deleted else 0).cast("tinyint"))
+            self._claim(version)
+            out = out.withColumn(VERSION, F.lit(version).cast("long")).withColumn(MARK, F.lit(1 if deleted else 0).cast("tinyint"))
+        return out.sortWithinPartitions(*info.key) if info.engine == "sorted" else out
+
+    def _write(self, rows: DataFrame, folder: str, mode: str = "append") -> None:
+        info = self.info
         part = Partitioning(**info.partitioning) if info.partitioning else None
-        if info.engine == "sorted":
-            rows = rows.sortWithinPartitions(*info.key)
         w = rows.withColumn(PART, part.name_of()) if part else rows
-        w = w.withColumnsRenamed({n: info.stored[n][-1][0] for n in given})
-        writer = w.write.mode("append")
-        (writer.partitionBy(PART) if part else writer).parquet(f"{self.path}/data")
+        w = w.withColumnsRenamed({n: at[-1][0] for n, at in info.stored.items()})
+        writer = w.write.mode(mode)
+        (writer.partitionBy(PART) if part else writer).parquet(f"{self.path}/{folder}")
+
+    def append(self, df: DataFrame, version: int | None = None, deleted: bool = False) -> None:
+        """Rows under the table's column names. A mutable table's rows all get ``version``, which must be above those before for the change to hold."""
+        self._write(self._rows(df, version, deleted), self.info.folder)
+
+    def overwrite(self, df: DataFrame, version: int | None = None) -> None:
+        """Other rows in place of all there are, which the new ones may be made from; ``recover`` brings the old ones back."""
+        folder = f"data-{uuid.uuid4().hex}"
+        self._write(self._rows(df, version, False), folder)
+        self._swap(folder)
+
+    def _swap(self, folder: str, keep: bool = True) -> None:
+        """Another folder's rows become the table's; what was before goes, or is kept for ``recover`` until the next time."""
+        info = self.info
+        gone = [info.trash] if keep else [info.folder]
+        if keep:
+            info.trash = info.folder
+        info.folder = folder
+        self._save(info)
+        for g in gone:
+            if g:
+                at, fs = self._file(f"{self.path}/{g}")
+                fs.delete(at, True)
 
     upsert = append
 
@@ -167,15 +237,19 @@ class KeyedTable:
 
     # -- reading --
     def raw(self, partitions: list[str] | None = None) -> DataFrame:
-        """All row versions, with the hidden columns of a mutable table; only the named partitions' files are read."""
+        """All row versions, with the hidden columns of a mutable table; only the named partitions' files are read.
+
+        The sidecar has the schema of all files, so none is opened to plan a query.
+        """
         info = self.info
         hidden = [T.StructField(VERSION, T.LongType()), T.StructField(MARK, T.ByteType())] if info.engine == "mutable" else []
         part = [T.StructField(PART, T.StringType())] if info.partitioning else []
         fields = [f for f in self.schema.fields if f.name not in info.generated]
-        p, fs = self._file(f"{self.path}/data")
+        p, fs = self._file(self.data)
         if not fs.exists(p):
-            return self.spark.createDataFrame([], T.StructType(fields + hidden))
-        df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data")
+            return self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in fields] + hidden))
+        places = [T.StructField(at, T._parse_datatype_string(kind)) for f in fields for at, kind in info.stored[f.name]]
+        df = self.spark.read.schema(T.StructType([*places, *hidden, *part])).parquet(self.data)
         if partitions is not None:
             if not part:
                 raise ValueError("the table has no partitions")
@@ -184,9 +258,9 @@ class KeyedTable:
             df = df.filter(F.col(PART).isin(*partitions))
         cols = []
         for f in fields:
-            # a row has its value in one of the column's places: the newest that isn't null
-            there = [F.col(f"`{at}`").cast(f.dataType) for at, _ in reversed(info.stored[f.name]) if at in df.columns]
-            cols.append((F.coalesce(*there) if there else F.lit(None).cast(f.dataType)).alias(f.name))
+            # a row has its value in one of the column's places: the newest that isn't null; a column with one place stays open to pushed filters
+            there = [F.col(f"`{at}`") if kind == f.dataType.simpleString() else F.col(f"`{at}`").cast(f.dataType) for at, kind in reversed(info.stored[f.name])]
+            cols.append((F.coalesce(*there) if len(there) > 1 else there[0]).alias(f.name))
         return df.select(*cols, *[F.col(h.name) for h in hidden])
 
     def read(self, as_of: int | None = None, partitions: list[str] | None = None) -> DataFrame:
@@ -255,31 +329,45 @@ class KeyedTable:
         p = Partitioning(**info.partitioning)
         if name not in p.names() or p.kind != "range" or len(p.bounds) == 1:
             raise ValueError(f"partition {name} can't be dropped")
-        at, fs = self._file(f"{self.path}/data/{PART}={name}")
+        at, fs = self._file(f"{self.data}/{PART}={name}")
         fs.delete(at, True)
         info.partitioning["bounds"] = [b for b in info.partitioning["bounds"] if b[0] != name]
         self._save(info)
 
     def truncate(self) -> None:
-        """The rows move to a trash folder, from which ``recover`` brings them back until the next truncation."""
-        old, fs = self._file(f"{self.path}/data")
-        trash, _ = self._file(f"{self.path}/_trash")
-        fs.delete(trash, True)
-        if fs.exists(old):
-            fs.rename(old, trash)
+        """No rows; ``recover`` brings the old ones back until rows are replaced again."""
+        self._swap(f"data-{uuid.uuid4().hex}")
 
     def recover(self) -> None:
-        trash, fs = self._file(f"{self.path}/_trash")
-        data, _ = self._file(f"{self.path}/data")
-        if not fs.exists(trash) or fs.exists(data):
+        """The rows from before a truncation, as long as no new ones are there."""
+        info = self.info
+        now, fs = self._file(self.data)
+        if not info.trash or fs.exists(now):
             raise ValueError("there is nothing to recover, or new rows are there")
-        fs.rename(trash, data)
+        info.folder, info.trash = info.trash, None
+        self._save(info)
+
+    def flashback(self, path: str) -> KeyedTable:
+        """The rows from before a truncation as a table of their own."""
+        info = self.info
+        if not info.trash:
+            raise ValueError("there is nothing to bring back")
+        new = self.create_like(path)
+        old, fs = self._file(f"{self.path}/{info.trash}")
+        to, _ = self._file(new.data)
+        if fs.exists(old):
+            fs.rename(old, to)
+        info.trash = None
+        self._save(info)
+        return new
 
     def create_like(self, path: str) -> KeyedTable:
         new = KeyedTable(self.spark, path)
         if new.exists():
             raise ValueError(f"there is a table at {path}")
-        new._save(self.info)
+        info = self.info
+        info.folder, info.trash = "data", None
+        new._save(info)
         return new
 
     def compact(self, keep_from: int | None = None) -> None:
@@ -293,25 +381,22 @@ class KeyedTable:
         kept = kept.filter(F.col(MARK) == 0)
         if keep_from is not None:
             kept = kept.unionByName(rows.filter(F.col(VERSION) > keep_from))
-        part = Partitioning(**info.partitioning) if info.partitioning else None
-        if part:
-            kept = kept.withColumn(PART, part.name_of())
-        writer = kept.withColumnsRenamed({n: at[-1][0] for n, at in info.stored.items()}).write.mode("overwrite")
-        (writer.partitionBy(PART) if part else writer).parquet(f"{self.path}/_new")
-        new, fs = self._file(f"{self.path}/_new")
-        data, _ = self._file(f"{self.path}/data")
-        fs.delete(data, True)
-        fs.rename(new, data)
+        folder = f"data-{uuid.uuid4().hex}"
+        self._write(kept, folder)
+        self._swap(folder, keep=False)
 
 
 def newest(rows: DataFrame, key: list[str], version: str, mark: str) -> DataFrame:
     """Of each key the row with the highest version; a deletion wins among equal versions, then the greatest row.
 
-    An aggregate, not a window: versions are thinned before the shuffle, so a key with many versions moves few rows.
+    Only the first row of each key is asked for, so Spark limits every key before the shuffle: a key with
+    very many versions moves few rows, and other columns are compared only where versions are equal.
     """
+    q = lambda c: F.col(f"`{c}`")
     rest = [c for c in rows.columns if c not in (*key, version, mark)]
-    best = F.max(F.struct(F.col(version), F.col(mark), *[F.col(c) for c in rest])).alias("best")
-    return rows.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col("best")[c].alias(c) for c in rows.columns])
+    order = [q(version).desc(), q(mark).desc(), *[q(c).desc() for c in rest]]
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*[q(k) for k in key]).orderBy(*order)))
+    return ranked.filter(F.col("__rank") == 1).drop("__rank")
 
 
 def latest(rows: DataFrame, key: list[str], version: str, mark: str) -> DataFrame:

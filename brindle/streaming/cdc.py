@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from brindle.sources.tables import MARK, PART, VERSION, KeyedTable, Partitioning
+from brindle.sources.tables import MARK, VERSION, KeyedTable, newest
 
 #: Columns of a change besides the table's own: its version and kind (I, U or D).
 CHANGE = "version", "kind"
@@ -18,17 +18,13 @@ def apply_changes(table: KeyedTable, changes: DataFrame) -> None:
     info = table.info
     if info.engine != "mutable":
         raise ValueError("changes need a mutable table")
-    from brindle.sources.tables import newest
-
     fields = [f for f in table.schema.fields if f.name not in info.generated]
     rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], F.col("version").cast("long").alias(VERSION), (F.col("kind") == "D").cast("tinyint").alias(MARK))
     rows = newest(rows, [*info.key, VERSION, MARK], VERSION, MARK)
-    part = Partitioning(**info.partitioning) if info.partitioning else None
-    if part:
-        rows = rows.withColumn(PART, part.name_of())
-    rows = rows.withColumnsRenamed({f.name: info.stored[f.name][-1][0] for f in fields})
-    w = rows.write.mode("append")
-    (w.partitionBy(PART) if part else w).parquet(f"{table.path}/data")
+    seen = Observation()
+    table._write(rows.observe(seen, F.max(VERSION).alias("top")), info.folder)
+    if seen.get["top"] is not None:
+        table._claim(seen.get["top"])
 
 
 def follow(changes: DataFrame, table: KeyedTable, checkpoint: str, *, once: bool = False) -> StreamingQuery:
