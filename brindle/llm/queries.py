@@ -1,4 +1,4 @@
-"""The queries of problems 6 to 8, and SQL where it can say what they mean."""
+"""The queries of problems 3 and 6 to 8, and SQL where it can say what they mean."""
 
 from __future__ import annotations
 
@@ -8,12 +8,33 @@ from pyspark.sql import functions as F
 from brindle.llm.encode import decode_ids, encode_texts
 from brindle.llm.packing import fill_containers
 from brindle.llm.residue import find_residue
+from brindle.llm.termfreq import BUDGET, mark_terms, term_counts
+from brindle.operators.hotkeys import clean_code
 from brindle.session import table
 
 #: Tokens that a container of problem 7 holds.
 CAPACITY = 2048
 
 
+def _terms(spark: SparkSession, sf: str, **more: int) -> DataFrame:
+    ontime = table(spark, sf, "ontime")
+    code = lambda c: clean_code(F.col(c))
+    return mark_terms(term_counts(ontime, {"airport": [code("origin"), code("dest")], "tail": [code("tailnum")]}, **more), ontime.count())
+
+
+def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _terms(spark, sf)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _terms(spark, sf).filter("mark is not null").select("vocabulary", "term", "mark")
+
+
+def p3_spilled(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms once more, with so small a budget that pieces are spilled again and again."""
+    return _terms(spark, sf, partitions=4, budget=BUDGET >> 14)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"), "text", ["doc_id"])
 
@@ -34,5 +55,16 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
     return find_residue(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id", *[F.round(c, 4).alias(f"{c}_share") for c in ("placeholder", "filler", "notice")])
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_containers, p8_found, p8_classes)}
-SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_spilled, p6_ids, p6_decoded, p7_containers, p8_found, p8_classes)}
+
+_TERMS = """
+w AS (SELECT row_id, upper(trim(origin, ' ')) AS o, upper(trim(dest, ' ')) AS d, upper(trim(tailnum, ' ')) AS t FROM ontime),
+e AS (SELECT 'airport' AS vocabulary, o AS term, row_id FROM w UNION ALL SELECT 'airport', d, row_id FROM w UNION ALL SELECT 'tail', t, row_id FROM w),
+c AS (SELECT vocabulary, term, count(*) AS n_occurrences, count(DISTINCT row_id) AS n_records FROM e WHERE term <> '' GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 50 > (SELECT count(*) FROM ontime) THEN 'common' END AS mark FROM c)"""
+SQL = {
+    "p3_found": f"WITH {_TERMS} SELECT vocabulary, term, mark FROM m WHERE mark IS NOT NULL",
+    "p3_terms": f"WITH {_TERMS} SELECT * FROM m",
+    "p3_spilled": f"WITH {_TERMS} SELECT * FROM m",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
