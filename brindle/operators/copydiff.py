@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lone = size[group[top]] == 1
         if lone.all():
             return b.take(pa.array(top))
-        ties = _sorted(pa.Table.from_batches([b.take(pa.array(top[~lone]))]), [*keys, *[n for n in t.column_names if n.startswith("v") and n != "version"]])
+        by = [n for n in t.column_names if n.startswith("v") and n != "version"]
+        ties = _sorted(pa.Table.from_batches([b.take(pa.array(top[~lone]))]), [*keys, *by])
         ties = ties.filter(pa.array(np.append(_new_key(ties)[1:], True)))
         return pa.Table.from_batches([b.take(pa.array(top[lone])), ties]).combine_chunks().to_batches()[0]
 
@@ -129,7 +131,21 @@ def _sorted(t: pa.Table, by: list[str]) -> pa.RecordBatch:
     return t.take(order).combine_chunks().to_batches()[0]
 
 
-def _compare(fields: list[str], keys: int, missing: tuple[str, str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hundredths(texts: list[str | None], which: int) -> pa.Array:
+    """Of the joined texts of numbers, one field's with two decimals; what is no finite number stays as it is."""
+    out: list[str | None] = []
+    with localcontext() as context:
+        context.prec = 400
+        for t in texts:
+            v = t.split("|")[which] if t else ""
+            try:
+                out.append(f"{Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_UP):f}" if v else None)
+            except InvalidOperation:
+                out.append(v)
+    return pa.array(out, pa.string())
+
+
+def _compare(fields: list[str], wide: list[str], keys: int, missing: tuple[str, str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def aligned(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """``b``: all rows of some keys, sorted by key, side, version, mark and values."""
         side, mark = b.column("side").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
@@ -156,7 +172,11 @@ def _compare(fields: list[str], keys: int, missing: tuple[str, str], schema: pa.
             left, right = pa.array(at[0][both]), pa.array(at[1][both])
             for i, f in enumerate(fields):
                 c = b.column(f"v{i}")
-                wrong = np.flatnonzero(_differs(c.take(left), c.take(right)))
+                differs = _differs(c.take(left), c.take(right))
+                if f in wide and b.column("vwide").null_count < b.num_rows:
+                    w = _hundredths(b.column("vwide").to_pylist(), wide.index(f))
+                    differs |= _differs(w.take(left), w.take(right))
+                wrong = np.flatnonzero(differs)
                 if len(wrong):
                     yield out(b, first[both[wrong]], f)
 
@@ -190,48 +210,83 @@ def _compare(fields: list[str], keys: int, missing: tuple[str, str], schema: pa.
     return run
 
 
-_NUMBERS, _TIMES = (T.DecimalType, T.DoubleType, T.FloatType), (T.DateType, T.TimestampType, T.TimestampNTZType)
+_FRACTIONS, _WHOLE = (T.DecimalType, T.DoubleType, T.FloatType), (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: How a field's values are compared: numbers at two decimals, calendar dates, strings without trailing blanks, or as they are.
+RULES = ("number", "date", "text", "exact")
 
 
-def comparable(field: str, shared: T.DataType) -> Column:
-    """A value in the form that both copies have it in: numbers in hundredths, dates as days since 1970, strings without trailing blanks."""
-    if isinstance(shared, _NUMBERS):
-        return F.expr(f"cast(try_cast(`{field}` as decimal(18,2)) * 100 as bigint)")
-    if isinstance(shared, _TIMES):
-        return F.unix_date(F.col(f"`{field}`").cast("date"))
-    if isinstance(shared, T.StringType):
-        return F.rtrim(F.col(f"`{field}`").cast("string"))
-    return F.col(f"`{field}`").cast(shared)
+def rule_for(left: T.DataType, right: T.DataType) -> str:
+    """The rule of a field whose copies have these types, unless another is given."""
+    if isinstance(left, _FRACTIONS) or isinstance(right, _FRACTIONS):
+        return "number"
+    if isinstance(left, T.DateType) or isinstance(right, T.DateType):
+        return "date"
+    return "text" if isinstance(left, T.StringType) and isinstance(right, T.StringType) else "exact"
 
 
-def compare_copies(left: Copy, right: Copy, keys: list[str], fields: list[str] | None = None, *, names: tuple[str, str] = ("left", "right"), partitions: int | None = None) -> DataFrame:
+def comparable(field: str, rule: str, own: T.DataType, shared: T.DataType) -> tuple[Column, Column | None]:
+    """A value in the form that both copies have it in: numbers in hundredths, dates as days since 1970, strings without trailing blanks.
+
+    Numbers from 10^16 on don't fit in hundredths: they are null there, and stand as text in the second
+    column, which is none where the type has no such numbers.
+    """
+    c = f"`{field.replace('`', '``')}`"
+    if rule == "number":
+        small, text = F.expr(f"cast(try_cast({c} as decimal(18,2)) * 100 as bigint)"), F.expr(f"cast({c} as string)")
+        if isinstance(own, (T.DoubleType, T.FloatType)):
+            return small, F.when(~(F.abs(F.col(c)) < 1e16), text)
+        if isinstance(own, T.DecimalType) and own.precision - own.scale < 16:
+            return small, None
+        return small, F.when(small.isNull(), text)
+    if rule == "date":
+        return F.unix_date(F.col(c).cast("date")), None
+    if rule == "text":
+        return F.rtrim(F.col(c).cast("string")), None
+    return F.col(c).cast("long" if isinstance(shared, _WHOLE) else shared), None
+
+
+def compare_copies(left: Copy, right: Copy, keys: list[str], fields: list[str] | None = None, *, names: tuple[str, str] = ("left", "right"), rules: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """One row for each key that only one copy has, and for each field in which a key's current rows differ.
 
     Result: the keys, diff_field ('missing_in_<name>', or the field). ``fields``: by default the left copy's
     columns but the keys. In a versioned copy the row with the key's highest version is current, and none
     is if its delete mark is 1. Of several current rows of a key (repeated rows) that differ after
-    normalising, the greatest by the fields in turn stands for all; a deletion beats another row of the same version. Numbers compare at two decimals, dates
-    as calendar dates, strings without trailing blanks; null equals null only, in keys as well. Extra
-    columns on either side are left out. An empty copy makes each of the other's keys missing.
+    normalising, the greatest by the fields in turn stands for all; a deletion beats another row of the same version.
+    ``rules``: for a field one of RULES; without, fractions compare as numbers at two decimals, whatever
+    their size, dates as calendar dates, strings without trailing blanks, all else as it is. Null equals
+    null only, in keys as well. Extra columns on either side are left out. An empty copy makes each of the
+    other's keys missing.
     """
     fields = fields or [c for c in left.df.columns if c not in keys]
     types = {f.name: f.dataType for f in left.df.schema.fields}
+    others = {f.name: f.dataType for f in right.df.schema.fields}
+    rule = {f: (rules or {}).get(f) or rule_for(types[f], others[f]) for f in fields}
+    if unknown := {*rule.values()} - {*RULES}:
+        raise ValueError(f"rules {sorted(unknown)} are none of {RULES}")
 
     def normal(c: Copy, side: int) -> DataFrame:
         cols = [F.col(f"`{k}`").cast(types[k]).alias(f"k{i}") for i, k in enumerate(keys)]
         version = F.col(f"`{c.version}`").cast("long") if c.version else F.lit(0).cast("long")
         mark = F.col(f"`{c.delete_mark}`").cast("int") if c.delete_mark else F.lit(0)
         cols += [F.lit(side).alias("side"), F.coalesce(version, F.lit(-(2**63))).alias("version"), F.coalesce(mark, F.lit(0)).alias("mark")]
-        cols += [comparable(f, types[f]).alias(f"v{i}") for i, f in enumerate(fields)]
+        own = {f.name: f.dataType for f in c.df.schema.fields}
+        forms = [comparable(f, rule[f], own[f], types[f]) for f in fields]
+        cols += [v.alias(f"v{i}") for i, (v, _) in enumerate(forms)]
+        # one column for the numbers beyond hundredths of all fields, null in nearly every row
+        wide = {f: w for f, (_, w) in zip(fields, forms, strict=True) if w is not None}
+        every = [F.coalesce(wide.get(f, F.lit("")), F.lit("")) for f in fields if rule[f] == "number"]
+        some = F.coalesce(*wide.values()).isNotNull() if wide else F.lit(False)
+        cols.append((F.when(some, F.concat_ws("|", *every)) if wide else F.lit(None).cast("string")).alias("vwide"))
         df = c.df.select(*cols)
         return map_batches(df, _thin, df.schema)
 
     rows = normal(left, 0).unionByName(normal(right, 1))
     key = [f"k{i}" for i in range(len(keys))]
     spread = rows.repartition(partitions, *key) if partitions else rows.repartition(*key)
-    ordered = spread.sortWithinPartitions(*key, "side", "version", "mark", *[f"v{i}" for i in range(len(fields))])
+    ordered = spread.sortWithinPartitions(*key, "side", "version", "mark", *[f"v{i}" for i in range(len(fields))], "vwide")
     out = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("diff_field", T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     missing = (f"missing_in_{names[0]}", f"missing_in_{names[1]}")
-    return map_batches(ordered, _compare(fields, len(keys), missing, to_arrow_schema(out)), out)
+    wide = [f for f in fields if rule[f] == "number"]
+    return map_batches(ordered, _compare(fields, wide, len(keys), missing, to_arrow_schema(out)), out)

@@ -70,3 +70,31 @@ def test_hot_key_and_long_values(spark, monkeypatch):
 
 def test_repeated_rows_that_differ_by_padding_only(spark):
     assert diff(spark, [row(1, 1, s="x "), row(1, 1, s="x")], [version(1, 1, 1)]) == []
+
+
+def test_numbers_of_any_size(spark):
+    """Beyond 10^16 hundredths don't fit in 64 bits; the difference must still be seen."""
+    kinds = "a long, b int, num decimal(38,2)"
+    left = [(1, i, Decimal(v)) for i, v in enumerate(["1e17", "1e17", "123456789012345678.25", "1e30", "5.00", "99999999999999999999"])]
+    right = [(1, i, v) for i, v in enumerate([2e17, 1e17, 123456789012345680.0, 1e30, 1e20, None])]
+    for chunk in ({}, {"partitions": 3}):
+        got = compare_copies(Copy(spark.createDataFrame(left, kinds)), Copy(spark.createDataFrame(right, "a long, b int, num double")), ["a", "b"], ["num"], **chunk)
+        assert sorted((r.b, r.diff_field) for r in got.collect()) == [(0, "num"), (2, "num"), (4, "num"), (5, "num")]
+    doubles = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 1e300), (1, 3, float("inf"))], "a long, b int, num double")
+    others = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 1e301), (1, 3, float("inf"))], "a long, b int, num double")
+    assert [(r.b, r.diff_field) for r in compare_copies(Copy(doubles), Copy(others), ["a", "b"]).collect()] == [(2, "num")]
+
+
+def test_ties_among_very_large_numbers(spark):
+    a = spark.createDataFrame([(1, 1, Decimal("1e17")), (1, 1, Decimal("3e17"))] * 3, "a long, b int, num decimal(38,2)")
+    assert compare_copies(Copy(a), Copy(a), ["a", "b"]).collect() == []
+
+
+def test_rules(spark):
+    left = spark.createDataFrame([(1, "x ", 5, datetime.datetime(2020, 1, 1, 3))], "k int, s string, n int, t timestamp_ntz")
+    right = spark.createDataFrame([(1, "x", 5 + 2**32, datetime.datetime(2020, 1, 1, 9))], "k int, s string, n long, t timestamp_ntz")
+    found = lambda **more: sorted(r.diff_field for r in compare_copies(Copy(left), Copy(right), ["k"], **more).collect())
+    assert found() == ["n", "t"]
+    assert found(rules={"s": "exact", "t": "date"}) == ["n", "s"]
+    with pytest.raises(ValueError):
+        found(rules={"s": "nearly"})
