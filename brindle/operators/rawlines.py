@@ -117,7 +117,25 @@ def _real_date(values: pa.Array, ok: np.ndarray, years: tuple[int, int]) -> tupl
     return good, days
 
 
-_TYPES = {"string": (T.StringType(), pa.string()), "int": (T.IntegerType(), pa.int32()), "date": (T.DateType(), pa.date32())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
+_NUMBERS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _numbers(values: pa.Array, ok: np.ndarray, kind: str) -> tuple[pa.Array, np.ndarray]:
+    """Values as numbers, empty ones as null, and which are numbers of the type: what its pattern lets through may still be too large or none."""
+    given = pc.if_else(pa.array(ok & ~pc.equal(values, "").to_numpy(zero_copy_only=False)), values, None)
+    try:
+        return given.cast(_NUMBERS[kind]), ok
+    except pa.ArrowInvalid:
+        pass
+    out, good = [], ok.copy()
+    for i, text in enumerate(given.to_pylist()):
+        try:
+            out.append(None if text is None else pa.scalar(text).cast(_NUMBERS[kind]).as_py())
+        except pa.ArrowInvalid:
+            out.append(None)
+            good[i] = False
+    return pa.array(out, _NUMBERS[kind]), good
 
 
 def _parser(fields: list[LineField], carried: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -134,6 +152,8 @@ def _parser(fields: list[LineField], carried: int, schema: pa.Schema) -> Callabl
                 if f.years:
                     ok, days = _real_date(v, ok, f.years)
                     v = pa.array(days, pa.int32(), mask=~ok).cast(pa.date32())
+                elif f.kind in _NUMBERS:
+                    v, ok = _numbers(v, ok, f.kind)
                 valid &= ok
                 parsed.append(v)
             code[sound[~valid]] = 3
@@ -144,8 +164,8 @@ def _parser(fields: list[LineField], carried: int, schema: pa.Schema) -> Callabl
             columns.append(pa.array(["quoting", "column_count", "value"]).take(pa.array(code - 1, pa.int8(), mask=code == 0)))
             for f, v in zip(fields, parsed, strict=True):
                 v = v.take(at)
-                if f.kind != "date":
-                    v = pc.if_else(pc.equal(v, ""), None, v).cast(_TYPES[f.kind][1])
+                if f.kind == "string":
+                    v = pc.if_else(pc.equal(v, ""), None, v).cast(pa.string())
                 columns.append(v)
             yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
@@ -165,7 +185,7 @@ def parse_lines(df: DataFrame, line: str, fields: list[LineField], keep: list[st
     if clash:
         raise ValueError(f"columns to keep clash with fields: {sorted(clash)}")
     carried = df.select(*keep).schema
-    out = T.StructType([*carried.fields, T.StructField("reason", T.StringType()), *[T.StructField(f.name, _TYPES[f.kind][0]) for f in fields]])
+    out = T.StructType([*carried.fields, T.StructField("reason", T.StringType()), *[T.StructField(f.name, _TYPES[f.kind]) for f in fields]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return map_batches(df.select(*keep, df[line].cast("string").alias("__line")), _parser(fields, len(keep), to_arrow_schema(out)), out)

@@ -97,3 +97,11 @@ def test_empty_field_of_a_number_is_null(spark):
     df = spark.createDataFrame([("1,",)], "s string")
     r = parse_lines(df, "s", [LineField("a", "[0-9]+", "int"), LineField("b", "[0-9]*", "int")], []).first()
     assert (r.reason, r.a, r.b) == (None, 1, None)
+
+
+def test_values_too_large_are_rejects(spark):
+    fields = [LineField("a", "-?[0-9]+", "int"), LineField("b", "[0-9.]*", "double"), LineField("c", "[0-9]*", "long")]
+    lines = ["1,2.5,3", "2147483648,1,1", "-2147483648,,9223372036854775807", "1,1.2.3,1", "1,1,9223372036854775808"]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {r.i: (r.reason, r.a, r.b, r.c) for r in parse_lines(df, "line", fields, ["i"]).collect()}
+    assert got == {0: (None, 1, 2.5, 3), 1: ("value", None, None, None), 2: (None, -(2**31), None, 2**63 - 1), 3: ("value", None, None, None), 4: ("value", None, None, None)}
