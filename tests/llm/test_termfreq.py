@@ -35,11 +35,11 @@ def test_spilling(spark, tmp_path, monkeypatch):
     deepest, whole = [], termfreq._spill
     monkeypatch.setattr(termfreq, "_spill", lambda con, source, to, level: (deepest.append(level), whole(con, source, to, level))[1])
     batch = pa.RecordBatch.from_pydict({"vocabulary": ["v"] * 3000, "term": [f"t{i}" for i in range(3000)], "n_occurrences": [1] * 3000, "n_records": [1] * 3000}, schema=termfreq._ARROW)
-    for budget, levels in ((64 << 20, {0}), (300, {0, 1, 2})):
+    for budget, levels in ((64 << 20, 1), (300, 3)):
         deepest.clear()
         rows = [r for b in termfreq._radix(str(tmp_path), budget)(iter([batch, batch])) for r in b.to_pylist()]
         assert len(rows) == 3000 and all(r["n_records"] == 2 for r in rows)
-        assert {*deepest} == levels
+        assert {*range(levels)} <= {*deepest} and (budget == 300 or {*deepest} == {0})
     assert list(tmp_path.iterdir()) == []
 
 
@@ -66,3 +66,14 @@ def test_marks(spark):
     c = spark.createDataFrame([("v", "a", 2, 2), ("v", "b", 3, 3), ("v", "c", 30, 20), ("v", "d", 30, 21)], termfreq.SCHEMA)
     assert [r.mark for r in mark_terms(c, 1000).orderBy("term").collect()] == ["rare", None, None, "common"]
     assert [r.mark for r in mark_terms(c, 10).orderBy("term").collect()] == ["rare", "common", "common", "common"]
+
+
+def test_plan(spark):
+    """One shuffle, after equal terms are added up, and three of the flights' columns read."""
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["p3_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) == 1
+    assert {c for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in re.findall(r"(\w+):", m)} == {"origin", "dest", "tailnum"}
