@@ -1,4 +1,4 @@
-"""The queries of problems 1 to 5 over the flight and lineitem tables."""
+"""The queries of problems 1, 2, 4 and 5 over the flight and lineitem tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from brindle.operators.copydiff import Copy, compare_copies
 from brindle.operators.hotkeys import clean_code, dominant, key_totals
 from brindle.operators.profile import ColumnRule, bad_cells, load_findings, profile_loads
 from brindle.operators.rawlines import LineField, parse_lines
-from brindle.operators.termfreq import mark_terms, term_counts
 from brindle.session import table
 
 # The forms that the test data's description states.
@@ -75,20 +74,6 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return dominant(_flight_keys(spark, sf), table(spark, sf, "ontime").count(), (5, 100))
 
 
-def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    ontime = table(spark, sf, "ontime")
-    code = lambda c: clean_code(F.col(c))
-    return mark_terms(term_counts(ontime, {"airport": [code("origin"), code("dest")], "tail": [code("tailnum")]}), ontime.count())
-
-
-def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return _terms(spark, sf)
-
-
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _terms(spark, sf).filter("mark is not null").select("vocabulary", "term", "mark")
-
-
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(table(spark, sf, "ontime_raw"), "raw_line", FLIGHT_LINE, ["raw_id", "load_id", "line_no"])
 
@@ -108,7 +93,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_keys, p3_found, p3_terms, p4_found, p4_rows, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_keys, p4_found, p4_rows, p5_found)}
 
 _TAIL_SQL = "N[1-9]([0-9]{0,4}|[0-9]{0,3}[A-HJ-NP-Z]|[0-9]{0,2}[A-HJ-NP-Z]{2})"
 _CELLS = """
@@ -141,11 +126,6 @@ f AS (SELECT *, regexp_extract(s, '{_SPLIT}', {_NAMES}, 's') AS x FROM q WHERE q
 u AS (SELECT raw_id, load_id, line_no, {", ".join(f"CASE WHEN x.{n} LIKE '\"%' THEN replace(substr(x.{n}, 2, length(x.{n}) - 2), '\"\"', '\"') ELSE x.{n} END AS {n}" for n in _NAMES)} FROM f),
 ok AS (SELECT * FROM u WHERE regexp_full_match(flightdate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(flightdate AS DATE) BETWEEN DATE '1987-01-01' AND DATE '2029-12-31'
   AND {" AND ".join(f"regexp_full_match({n}, '{p}', 's')" for n, p in _PATTERNS.items())})"""
-_TERMS = """
-w AS (SELECT row_id, upper(trim(origin, ' ')) AS o, upper(trim(dest, ' ')) AS d, upper(trim(tailnum, ' ')) AS t FROM ontime),
-e AS (SELECT 'airport' AS vocabulary, o AS term, row_id FROM w UNION ALL SELECT 'airport', d, row_id FROM w UNION ALL SELECT 'tail', t, row_id FROM w),
-c AS (SELECT vocabulary, term, count(*) AS n_occurrences, count(DISTINCT row_id) AS n_records FROM e WHERE term <> '' GROUP BY ALL),
-m AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 50 > (SELECT count(*) FROM ontime) THEN 'common' END AS mark FROM c)"""
 _KEYS = """
 k AS (SELECT 'origin' AS key_field, upper(trim(origin, ' ')) AS key_value, cancelled, depdelay FROM ontime
   UNION ALL SELECT 'uniquecarrier', upper(trim(uniquecarrier, ' ')), cancelled, depdelay FROM ontime)"""
@@ -191,8 +171,6 @@ SELECT q.column_name, q.load_id, q.n AS n_rows, q.miss AS n_missing, coalesce(nd
 FROM pairs q LEFT JOIN l1 USING (column_name, load_id) LEFT JOIN st USING (column_name, load_id)""",
     "p2_found": f"WITH {_KEYS} SELECT key_field, key_value FROM k WHERE key_value <> '' GROUP BY ALL HAVING count(*) * 20 >= (SELECT count(*) FROM ontime)",
     "p2_keys": f"WITH {_KEYS} SELECT key_field, key_value, count(*) AS flights, CAST(coalesce(sum(cancelled), 0) AS BIGINT) AS cancellations, round(avg(depdelay), 6) AS mean_depdelay FROM k WHERE key_value <> '' GROUP BY ALL",
-    "p3_found": f"WITH {_TERMS} SELECT vocabulary, term, mark FROM m WHERE mark IS NOT NULL",
-    "p3_terms": f"WITH {_TERMS} SELECT * FROM m",
     "p4_found": f"""WITH {_PARSED} SELECT raw_id, CASE WHEN NOT quoted THEN 'quoting' WHEN commas <> 11 THEN 'column_count' ELSE 'value' END AS reason FROM q WHERE raw_id NOT IN (SELECT raw_id FROM ok)""",
     "p4_rows": f"""WITH {_PARSED} SELECT raw_id, load_id, line_no, CAST(flightdate AS DATE) AS flightdate, uniquecarrier, CAST(airlineid AS INTEGER) AS airlineid, nullif(tailnum, '') AS tailnum, CAST(flightnum AS INTEGER) AS flightnum,
   origin, origincityname, dest, destcityname, CAST(nullif(depdelay, '') AS INTEGER) AS depdelay, CAST(cancelled AS INTEGER) AS cancelled, CAST(distance AS INTEGER) AS distance FROM ok""",

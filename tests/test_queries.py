@@ -51,7 +51,7 @@ def test_same_rows(spark, duck, name):
 
 def test_names():
     assert set(SQL) <= set(entry.queries())
-    assert {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found"} <= set(entry.queries())
+    assert {"p1_found", "p2_found", "p4_found", "p5_found"} <= set(entry.queries())
 
 
 def test_entry(spark):
