@@ -3,6 +3,9 @@
 A batch of lines is one byte buffer. A mask of its double quotes and the parity of the quotes before each
 byte within its line tell which commas separate fields and which lie inside quotes; what stands beside a
 quote tells whether quoting is sound. Field positions then become columns without visiting single lines.
+
+Files whose quoted fields hold line breaks are read as records first: the same parity, carried from split
+to split, tells which line breaks end a record.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.session import map_batches
@@ -189,3 +193,96 @@ def parse_lines(df: DataFrame, line: str, fields: list[LineField], keep: list[st
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return map_batches(df.select(*keep, df[line].cast("string").alias("__line")), _parser(fields, len(keep), to_arrow_schema(out)), out)
+
+def _odd_splits(lines: DataFrame) -> set[tuple[str, int]]:
+    """The splits that begin inside quotes: those before them in their file hold an odd number of quotes. One bit a split, of which the driver has the list anyway."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    per = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = per.select("file", "block", (F.sum("odd").over(earlier) % 2).alias("inside")).filter("inside = 1")
+    return {(r.file, r.block) for r in begins.collect()}
+
+
+#: What a row of ``_records`` is: a whole record, one that the split's end leaves open, or lines of one that began before the split.
+_WHOLE, _OPEN, _REST = 0, 1, 2
+
+
+def _records(odd: set[tuple[str, int]], borders: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of splits, in order, into records: a line ends one where the quotes up to its end are even. ``borders``: give what splits cut, else the whole records."""
+
+    def rows(at: tuple[str, int], first: int, records: pa.Array, kind: int) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.string()), pa.array(np.full(n, at[1], np.int64)), pa.array(np.arange(first, first + n)), pa.array(np.full(n, kind, np.int8)), records.cast(pa.string())], names=["file", "block", "number", "kind", "record"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[str, int] | None = None
+        number, inside, before, held = 0, False, False, []
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            # of a split that never leaves the quotes all is the rest of an earlier record, and it goes on
+            if held and borders:
+                yield rows(now, number, pa.array(["\n".join(held)]), _REST if before else _OPEN)
+
+        for b in batches:
+            file, block = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | _unequal(file)]) if b.num_rows else np.zeros(0, bool)
+            cuts = np.flatnonzero(new)
+            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                at = (file[int(lo)].as_py(), int(block[lo]))
+                if at != now:
+                    if now:
+                        yield from rest()
+                    now, number, held = at, 0, []
+                    inside = before = at in odd
+                lines = b.column(0).slice(lo, hi - lo)
+                parity = (np.cumsum(pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)) + inside) % 2
+                inside = bool(parity[-1])
+                ends = np.flatnonzero(parity == 0)
+                if not len(ends):
+                    held += lines.to_pylist()
+                    continue
+                done = lines.slice(0, int(ends[-1]) + 1)
+                starts = np.concatenate([[0], ends + 1]).astype(np.int32)
+                records = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), done), "\n")
+                if held:
+                    records = pa.concat_arrays([pa.array(["\n".join([*held, records[0].as_py()])], records.type), records[1:]])
+                held = lines.slice(int(ends[-1]) + 1).to_pylist()
+                if before:
+                    if borders:
+                        yield rows(now, number, records[:1], _REST)
+                    records, before, number = records[1:], False, number + 1
+                if len(records) and not borders:
+                    yield rows(now, number, records, _WHOLE)
+                number += len(records)
+        if now:
+            yield from rest()
+
+    return run
+
+
+def _unequal(names: pa.Array) -> np.ndarray:
+    return pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of delimited files whose quoted fields may hold line breaks: file, block, number, record.
+
+    Files are split as any text; quotes are counted by split, and their parity before a split tells whether it
+    begins inside a quoted field. A record ends with the first line break behind an even number of quotes.
+    What a split's borders cut is put together by file. ``block`` and ``number`` order the records of a
+    file. A line break inside a field stays in it; a carriage return stays where it is. An empty line is an
+    empty record; an empty file has none. A stray quote shifts what is inside and outside until the next one:
+    ``parse_lines`` gives these records as rejects. Quotes still open at a file's end leave one last record.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    odd = _odd_splits(lines)
+    schema = "file string, block long, number long, kind tinyint, record string"
+    whole = map_batches(lines, _records(odd, False), schema).select("file", "block", "number", "record")
+    cut = map_batches(lines, _records(odd, True), schema)
+    # a record that is left open begins a run of pieces, one from each split that it goes through
+    run = F.sum((F.col("kind") == _OPEN).cast("long")).over(Window.partitionBy("file").orderBy("block", "number"))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "number", "record")))
+    joined = cut.withColumn("run", run).groupBy("file", "run").agg(pieces.alias("p"))
+    joined = joined.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["number"].alias("number"), F.array_join(F.col("p")["record"], "\n").alias("record"))
+    return whole.union(joined)

@@ -4,7 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from brindle.operators.rawlines import LineField, index_lines, parse_lines
+from brindle.operators.rawlines import LineField, index_lines, parse_lines, read_records
 from brindle.plans.problems import FLIGHT_LINE
 
 GOOD = '2003-07-02,AF,20763,N82YD,3661,MGW,"Quinoby, ZT",XTV,"Tamen ""X""/Mareby, YH",-8,0,864'
@@ -105,3 +105,29 @@ def test_values_too_large_are_rejects(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
     got = {r.i: (r.reason, r.a, r.b, r.c) for r in parse_lines(df, "line", fields, ["i"]).collect()}
     assert got == {0: (None, 1, 2.5, 3), 1: ("value", None, None, None), 2: (None, -(2**31), None, 2**63 - 1), 3: ("value", None, None, None), 4: ("value", None, None, None)}
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_records_across_splits(spark, tmp_path, split):
+    """Line breaks inside quotes, whatever the splits cut: single breaks, long fields over many splits, doubled quotes, empty lines."""
+    want = ["1,a,b", '2,"two\nlines",c', "", '3,"' + "long line\n" * 30 + '""x""",d\r', "4,plain,", '"5\n\n\n",,"\n"', "6,z,z"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(("\n".join(want * 3) + "\n").encode())
+    (tmp_path / "in" / "b.csv").write_bytes("\n".join(want).encode())
+    (tmp_path / "in" / "empty.csv").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = read_records(spark, f"file://{tmp_path}/in").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a.csv", 3), ("b.csv", 1)):
+        own = sorted((r.block, r.number, r.record) for r in got if r.file.endswith(name))
+        assert [r[2] for r in own] == want * n
+    assert {r.file[-5:] for r in got} == {"a.csv", "b.csv"}
+
+
+def test_records_with_a_stray_quote(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('1,a\n2,"b\n3,c"d"\n4,e\n')
+    got = parse_lines(read_records(spark, f"file://{tmp_path}/x.csv"), "record", [LineField("k", "[0-9]+", "int"), LineField("v", "(?s:.*)")], ["number"])
+    assert {r.reason for r in got.collect()} == {None, "quoting"} and sum(len(r.record.split("\n")) for r in read_records(spark, f"file://{tmp_path}/x.csv").collect()) == 4
