@@ -1,17 +1,19 @@
-"""Exact column profiles of loads, and how each load differs from the one before it.
-
-Cells are unpivoted, counted per (column, load, value) and range-sorted by (column, load pair, value),
-a pair being a load with its predecessor. Inside one range partition prefix sums over the two count
-columns are the two cumulative curves merged by value. What a partition holds completely is finished
-there; a pair that a partition boundary cuts leaves its rows with their local prefix counts, to which
-the counts of the partitions before are added afterwards. So a load of any size is spread over as many
-tasks as its values fill, and quantiles, distinct counts and distances are exact.
+"""Exact column profiles of loads, how each load differs from the one before it, and cells of wrong form.
+
+Cells are unpivoted and counted once per (column, load, value): all else comes from these counts. They are
+range-sorted by (column, load pair, value), a pair being a load with its predecessor. Inside one range
+partition prefix sums over the two count columns are the two cumulative curves merged by value, and each
+distinct value is judged by its column's rule. What a partition holds completely is finished there; a pair
+that a partition boundary cuts leaves its rows with their local prefix counts, to which the counts of the
+partitions before are added afterwards. So a load of any size is spread over as many tasks as its values
+fill, and quantiles, distinct counts and distances are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ QUANTILES = (0.25, 0.5, 0.75)
 #: Rows of a partition that are in memory at once.
 CHUNK = 1 << 19
 _STATS = "n_distinct long, top_count long, min_value string, max_value string, quantiles array<string>, l1 decimal(38,0), ks decimal(38,0)"
-_RAW = "seg long, value string, num double, new long, old long, cum_new long, cum_old long"
+_RAW = "seg long, value string, num double, new long, old long, cum_new long, cum_old long, doubt boolean"
 _SCHEMA = f"col tinyint, pair long, n_new long, n_old long, {_STATS}, {_RAW}"
 
 
@@ -33,7 +35,7 @@ _SCHEMA = f"col tinyint, pair long, n_new long, n_old long, {_STATS}, {_RAW}"
 class ColumnRule:
     """What a column's present cells must look like.
 
-    ``pattern``: a Java regular expression for the whole cell. ``allowed``: a one-column table of valid
+    ``pattern``: an RE2 regular expression for the whole cell. ``allowed``: a one-column table of valid
     values. ``numeric``: order values as numbers rather than as strings.
     """
 
@@ -50,43 +52,21 @@ def present(c: Column, numeric: bool = False) -> Column:
 
 
 def _cells(df: DataFrame, rules: list[ColumnRule], load: str, *more: str) -> DataFrame:
-    """One row per present cell: load, [more], col, value."""
-    rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("col"), present(F.col(r.name), r.numeric).alias("value")) for i, r in enumerate(rules)])
-    return df.select(F.col(load).cast("long").alias("load"), *[F.col(m) for m in more], F.inline(rows)).filter(F.col("value").isNotNull())
-
-
-def bad_cells(df: DataFrame, rules: list[ColumnRule], load: str, row: str) -> DataFrame:
-    """Present cells that break their column's rule: column_name, load, row, value."""
-    cells = _cells(df.withColumn("__row", F.col(row)), rules, load, "__row")
-    kept = F.lit(False)
-    allowed = None
-    for i, r in enumerate(rules):
-        if r.pattern is not None:
-            kept = kept | ((F.col("col") == i) & ~F.col("value").rlike(rf"\A(?:{r.pattern})\z"))
-        elif r.allowed is not None:
-            kept = kept | (F.col("col") == i)
-            own = r.allowed.select(F.lit(i).cast("tinyint").alias("col"), F.col(r.allowed.columns[0]).cast("string").alias("value")).distinct()
-            allowed = own if allowed is None else allowed.union(own)
-    cells = cells.filter(kept)
-    if allowed is not None:
-        cells = cells.join(allowed, ["col", "value"], "left_anti")
-    return cells.select(_name(rules).alias("column_name"), "load", F.col("__row").alias("row"), "value")
+    """One row per cell: load, [more], col, value, which is null where the cell is missing."""
+    rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("col"), present(F.col(f"`{r.name}`"), r.numeric).alias("value")) for i, r in enumerate(rules)])
+    return df.select(F.col(f"`{load}`").cast("long").alias("load"), *[F.col(m) for m in more], F.inline(rows))
 
 
 def _name(rules: list[ColumnRule]) -> Column:
     return F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("col").cast("int") + 1)
 
 
-def load_totals(df: DataFrame, loads: DataFrame, rules: list[ColumnRule], load: str, prev: str, loads_key: str) -> DataFrame:
-    """Rows and present cells of each (column, load) and of the load before: col, pair, rows_new, n_new, rows_old, n_old."""
-    counts = df.groupBy(F.col(load).cast("long").alias("pair")).agg(
-        F.count(F.lit(1)).alias("rows_new"), *[F.count(present(F.col(r.name), r.numeric)).alias(f"__n{i}") for i, r in enumerate(rules)]
-    )
-    rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("col"), F.col(f"__n{i}").alias("n_new")) for i in range(len(rules))])
-    counts = counts.select("pair", "rows_new", F.inline(rows))
-    chain = loads.select(F.col(loads_key).cast("long").alias("pair"), F.col(prev).cast("long").alias("before")).filter("before is not null").dropDuplicates(["pair"])
-    old = counts.select(F.col("col"), F.col("pair").alias("before"), F.col("rows_new").alias("rows_old"), F.col("n_new").alias("n_old"))
-    before = chain.join(old, "before").select("col", "pair", "rows_old", "n_old")
+def load_totals(hist: DataFrame, chain: DataFrame) -> DataFrame:
+    """Rows and present cells of each (column, load) and of the load before, from the counts of values: col, pair, rows_new, n_new, rows_old, n_old."""
+    n = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    counts = hist.groupBy("col", F.col("load").alias("pair")).agg(F.sum("n").alias("rows_new"), F.coalesce(n, F.lit(0)).alias("n_new"))
+    old = counts.select(F.col("col"), F.col("pair").alias("src"), F.col("rows_new").alias("rows_old"), F.col("n_new").alias("n_old"))
+    before = chain.join(old, "src").select("col", "pair", "rows_old", "n_old")
     return counts.join(before, ["col", "pair"], "left").fillna(0, ["rows_old", "n_old"]).select("col", "pair", "rows_new", "n_new", "rows_old", "n_old")
 
 
@@ -97,10 +77,11 @@ def _differs(a: pa.Array) -> np.ndarray:
     return ne | (pc.is_null(x).to_numpy(zero_copy_only=False) != pc.is_null(y).to_numpy(zero_copy_only=False))
 
 
-def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _curves(doubts: dict[int, str | None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range partition, sorted by (col, pair, hdr, num, value), header rows (hdr 0) first within their pair.
 
     It is taken in chunks of some hundred thousand rows, cut between values; what a chunk doesn't hold whole counts as cut by a partition boundary.
+    ``doubts``: of each column whose values are judged the pattern, or None where a table of valid values decides later.
     """
     from pyspark import TaskContext
 
@@ -117,16 +98,30 @@ def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while last > 0 and all(t.column(n)[last].as_py() == t.column(n)[last - 1].as_py() for n in ("col", "pair", "hdr", "value")):
                 last -= 1
             if last:
-                yield from _chunk(t.slice(0, last), seg)
+                yield from _chunk(t.slice(0, last), seg, doubts)
                 seg += 1
             held = t.slice(last).combine_chunks().to_batches()
             size = sum(x.num_rows for x in held)
     if held:
-        yield from _chunk(pa.Table.from_batches(held).combine_chunks(), seg)
+        yield from _chunk(pa.Table.from_batches(held).combine_chunks(), seg, doubts)
 
 
-def _chunk(t: pa.Table, seg: int) -> Iterator[pa.RecordBatch]:
-    """Finished pairs of a chunk, and the rows of those that its ends cut, with their prefix counts in it."""
+def _doubtful(doubts: dict[int, str | None], col: np.ndarray, value: pa.Array, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The values among a chunk's distinct ones that break a pattern or are still to be looked up; each once."""
+    for c, pattern in doubts.items():
+        at = np.flatnonzero((col == c) & own)
+        if not len(at):
+            continue
+        v = pc.unique(value.take(pa.array(at)))
+        if pattern is not None:
+            v = v.filter(pc.invert(pc.match_substring_regex(v, rf"\A(?:{pattern})\z")))
+        if len(v):
+            known = {"col": pa.array(np.full(len(v), c, np.int8)), "value": v, "doubt": pa.array([True] * len(v))}
+            yield pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(v), f.type)) for f in _ARROW], schema=_ARROW)
+
+
+def _chunk(t: pa.Table, seg: int, doubts: dict[int, str | None]) -> Iterator[pa.RecordBatch]:
+    """Finished pairs of a chunk, the rows of those that its ends cut, with their prefix counts in it, and doubtful values."""
     one = {n: (c.chunk(0) if isinstance(c := t.column(n), pa.ChunkedArray) else c) for n in t.column_names}
     new, old, hdr = (one[n].to_numpy(zero_copy_only=False) for n in ("new", "old", "hdr"))
     cut = np.concatenate([[True], _differs(one["col"]) | _differs(one["pair"])])  # a pair begins
@@ -138,6 +133,7 @@ def _chunk(t: pa.Table, seg: int) -> Iterator[pa.RecordBatch]:
     ends = np.append(pair_at[1:], len(at))
     pos = pa.array(at)
     value, num = one["value"].take(pos), one["num"].take(pos)
+    yield from _doubtful(doubts, one["col"].take(pos).to_numpy(zero_copy_only=False), value, is_cell & (new > 0))
     col, pair = one["col"].take(pos.take(pa.array(pair_at))), one["pair"].take(pos.take(pa.array(pair_at)))
     done: list[dict] = []
     raw: list[pa.RecordBatch] = []
@@ -183,7 +179,7 @@ def _dec(x: object):
 _ARROW = pa.schema([
     ("col", pa.int8()), ("pair", pa.int64()), ("n_new", pa.int64()), ("n_old", pa.int64()), ("n_distinct", pa.int64()), ("top_count", pa.int64()), ("min_value", pa.string()), ("max_value", pa.string()),
     ("quantiles", pa.list_(pa.string())), ("l1", pa.decimal128(38, 0)), ("ks", pa.decimal128(38, 0)), ("seg", pa.int64()), ("value", pa.string()), ("num", pa.float64()), ("new", pa.int64()), ("old", pa.int64()),
-    ("cum_new", pa.int64()), ("cum_old", pa.int64()),
+    ("cum_new", pa.int64()), ("cum_old", pa.int64()), ("doubt", pa.bool_()),
 ])
 
 
@@ -198,15 +194,24 @@ def _raw_rows(row: dict, seg: int, value: pa.Array, num: pa.Array, *counts: np.n
     return pa.RecordBatch.from_arrays([known[f.name].cast(f.type) if f.name in known else pa.nulls(m, f.type) for f in _ARROW], schema=_ARROW)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What ``profile_loads`` gives: ``loads``, one row per column and load, and ``bad_values``, one per column and distinct value that breaks its rule."""
+
+    loads: DataFrame
+    bad_values: DataFrame
+
+
 def profile_loads(
     df: DataFrame, loads: DataFrame, rules: list[ColumnRule], *, load: str = "load_id", prev: str = "prev_load_id", loads_key: str | None = None
-) -> DataFrame:
+) -> Profile:
     """Profile each column of each load, against the load before it.
 
-    Result, one row per (column_name, load) with rows: n_rows, n_missing, n_distinct, top_count, min_value,
+    ``loads`` of the result, one row per (column_name, load) with rows: n_rows, n_missing, n_distinct, top_count, min_value,
     max_value, quantiles (at 25, 50 and 75 %, the least value whose cumulative share reaches it), then of
     the load before prev_rows, prev_missing, and as exact numerators over n_present * prev_present: l1 (the absolute
-    differences of value shares, summed) and ks (the Kolmogorov-Smirnov distance).
+    differences of value shares, summed) and ks (the Kolmogorov-Smirnov distance). ``bad_values``:
+    column_name, value; ``bad_cells`` finds their cells.
 
     A cell is missing when null, empty or only blanks. Rows whose load is null form a load of their own,
     without predecessor. A load without present cells has n_distinct 0 and null values; l1 and ks are null
@@ -214,28 +219,29 @@ def profile_loads(
     each time; an empty table gives an empty result. Other columns of ``df`` don't matter, whatever their names.
     """
     key = loads_key or load
-    totals = stage(load_totals(df, loads, rules, load, prev, key), "totals")
-    hist = _cells(df, rules, load).groupBy("col", "load", "value").agg(F.count(F.lit(1)).alias("n"))
+    hist = stage(_cells(df, rules, load).groupBy("col", "load", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    chain = loads.select(F.col(key).cast("long").alias("pair"), F.col(prev).cast("long").alias("src")).filter("src is not null").dropDuplicates(["pair"])
+    totals = stage(load_totals(hist, chain), "totals")
     number = F.lit(None).cast("double")
     for i, r in enumerate(rules):
         if r.numeric:
             number = F.when(F.col("col") == i, F.expr("try_cast(value as double)")).otherwise(number)
-    chain = loads.select(F.col(key).cast("long").alias("pair"), F.col(prev).cast("long").alias("src")).filter("src is not null").dropDuplicates(["pair"])
-    # a predecessor's cells matter only where the load itself has rows
-    chain = chain.join(totals.select("pair"), "pair", "left_semi")
-    zero, cell = F.lit(0).cast("long"), F.lit(1).cast("tinyint")
-    own = hist.select("col", F.col("load").alias("pair"), cell.alias("hdr"), number.alias("num"), "value", F.col("n").alias("new"), zero.alias("old"))
-    # null-safe, though no src is null: a plain equality would filter the scan, and the counts would be made twice instead of shared
-    before = hist.join(chain, F.col("load").eqNullSafe(F.col("src"))).select("col", "pair", cell.alias("hdr"), number.alias("num"), "value", zero.alias("new"), F.col("n").alias("old"))
+    # each load's counts go to its own pair, and to the pairs of the loads that follow it, where these have rows
+    there = totals.select("pair").distinct()
+    links = there.select(F.col("pair").alias("src"), "pair", F.lit(True).alias("own")).union(chain.join(there, "pair", "left_semi").select("src", "pair", F.lit(False)))
+    counts = hist.filter("value is not null").join(links, F.col("load").eqNullSafe(F.col("src")))
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    cells = counts.select("col", "pair", F.lit(1).cast("tinyint").alias("hdr"), number.alias("num"), "value", F.when(F.col("own"), n).otherwise(zero).alias("new"), F.when(F.col("own"), zero).otherwise(n).alias("old"))
     heads = totals.select("col", "pair", F.lit(0).cast("tinyint").alias("hdr"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("value"), F.col("n_new").alias("new"), F.col("n_old").alias("old"))
     order = ["col", "pair", "hdr", "num", "value"]
-    ranged = own.union(before).union(heads).repartitionByRange(*order).sortWithinPartitions(*order)
-    curves = stage(map_batches(ranged, _curves, _SCHEMA), "curves")
+    ranged = cells.union(heads).repartitionByRange(*order).sortWithinPartitions(*order)
+    doubts = {i: r.pattern for i, r in enumerate(rules) if r.pattern is not None or r.allowed is not None}
+    curves = stage(map_batches(ranged, partial(_curves, doubts), _SCHEMA), "curves")
     stats = ["n_distinct", "top_count", "min_value", "max_value", "quantiles", "l1", "ks"]
     whole = curves.filter("n_new is not null").select("col", "pair", *stats)
     found = whole.union(_joined_up(curves.filter("seg is not null"), totals).select("col", "pair", *stats))
     same = [F.col("t.col").eqNullSafe(F.col("s.col")), F.col("t.pair").eqNullSafe(F.col("s.pair"))]
-    return (
+    profile = (
         totals.alias("t")
         .join(found.alias("s"), same[0] & same[1], "left")
         .select(
@@ -244,6 +250,19 @@ def profile_loads(
             F.col("rows_old").alias("prev_rows"), (F.col("rows_old") - F.col("n_old")).alias("prev_missing"),
         )
     )
+    doubtful = curves.filter("doubt").select("col", "value")
+    valid = [r.allowed.select(F.lit(i).cast("tinyint").alias("col"), F.col(f"`{r.allowed.columns[0]}`").cast("string").alias("value")) for i, r in enumerate(rules) if r.pattern is None and r.allowed is not None]
+    if valid:
+        doubtful = doubtful.join(reduce(DataFrame.union, valid), ["col", "value"], "left_anti")
+    return Profile(profile, doubtful.distinct().select(_name(rules).alias("column_name"), "value"))
+
+
+def bad_cells(df: DataFrame, profile: Profile, rules: list[ColumnRule], load: str, row: str) -> DataFrame:
+    """The cells that have one of the profile's bad values: column_name, load, row, value. The table is read once more, and the bad values, staged so that Spark knows their size, are matched to it."""
+    number = F.array_position(F.array(*[F.lit(r.name) for r in rules]), F.col("column_name")) - 1
+    bad = stage(profile.bad_values.select(number.cast("tinyint").alias("col"), "value"), "bad")
+    cells = _cells(df.withColumn("__row", F.col(f"`{row}`")), rules, load, "__row").filter(F.col("value").isNotNull())
+    return cells.join(bad, ["col", "value"], "left_semi").select(_name(rules).alias("column_name"), "load", F.col("__row").alias("row"), "value")
 
 
 def _joined_up(raw: DataFrame, totals: DataFrame) -> DataFrame:
@@ -271,8 +290,11 @@ def _joined_up(raw: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def load_findings(profile: DataFrame, *, jump: tuple[int, int] = (15, 100), shift: tuple[int, int] = (70, 100), stuck: tuple[int, int] = (1, 10), shift_columns: tuple[str, ...] = (), stuck_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Findings on whole loads of ``profile_loads``: column_name, finding, load. Thresholds are fractions, compared without rounding."""
+def load_findings(profile: Profile, *, drift: tuple[int, int] | None = None, jump: tuple[int, int] = (15, 100), shift: tuple[int, int] = (70, 100), stuck: tuple[int, int] = (1, 10), shift_columns: tuple[str, ...] = (), stuck_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Findings on whole loads of ``profile_loads``: column_name, finding, load. Thresholds are fractions, compared without rounding.
+
+    ``drift``: from which Kolmogorov-Smirnov distance to the load before a load is a 'drift', by default none is.
+    """
     d = lambda c: F.col(c).cast("decimal(19,0)")
     filled, before = d("n_rows") - d("n_missing"), d("prev_rows") - d("prev_missing")
     rules = {
@@ -280,5 +302,7 @@ def load_findings(profile: DataFrame, *, jump: tuple[int, int] = (15, 100), shif
         "shift": F.col("column_name").isin(*shift_columns) & (F.col("l1") * shift[1] >= filled * before * shift[0]),
         "stuck": F.col("column_name").isin(*stuck_columns) & (filled > 0) & (d("top_count") * stuck[1] >= filled * stuck[0]),
     }
+    if drift:
+        rules["drift"] = F.col("ks") * drift[1] >= filled * before * drift[0]
     hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
-    return profile.select("column_name", F.explode(hits).alias("finding"), "load")
+    return profile.loads.select("column_name", F.explode(hits).alias("finding"), "load")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.operators.copydiff import Copy, compare_copies
 from brindle.operators.hotkeys import clean_code, dominant, key_totals
-from brindle.operators.profile import ColumnRule, bad_cells, load_findings, profile_loads
-from brindle.operators.rawlines import LineField, parse_lines
-from brindle.session import table
+from brindle.operators.profile import ColumnRule, Profile, bad_cells, load_findings, profile_loads
+from brindle.operators.rawlines import LineField, parse_lines, read_records
+from brindle.session import shared_path, table
 
 # The forms that the test data's description states.
 TAIL = "N[1-9](?:[0-9]{0,4}|[0-9]{0,3}[A-HJ-NP-Z]|[0-9]{0,2}[A-HJ-NP-Z]{2})"
@@ -40,8 +40,12 @@ def _rules(spark: SparkSession, sf: str) -> list[ColumnRule]:
     ]
 
 
+def _profile(spark: SparkSession, sf: str) -> Profile:
+    return profile_loads(table(spark, sf, "ontime"), table(spark, sf, "ontime_loads"), _rules(spark, sf))
+
+
 def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
-    p = profile_loads(table(spark, sf, "ontime"), table(spark, sf, "ontime_loads"), _rules(spark, sf))
+    p = _profile(spark, sf).loads
     pairs = ((F.col("n_rows") - F.col("n_missing")) * (F.col("prev_rows") - F.col("prev_missing"))).cast("double")
     q = [F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
     return p.select(
@@ -51,12 +55,21 @@ def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    ontime, rules = table(spark, sf, "ontime"), _rules(spark, sf)
-    on_loads = load_findings(profile_loads(ontime, table(spark, sf, "ontime_loads"), rules), shift_columns=("originstatefips", "airlineid"), stuck_columns=("tailnum",))
-    cells = bad_cells(ontime, rules, "load_id", "row_id").select("column_name", F.lit("bad_value").alias("finding"), F.col("load").alias("load_id"), F.col("row").alias("row_id"))
+    profile = _profile(spark, sf)
+    on_loads = load_findings(profile, shift_columns=("originstatefips", "airlineid"), stuck_columns=("tailnum",))
+    cells = bad_cells(table(spark, sf, "ontime"), profile, _rules(spark, sf), "load_id", "row_id").select("column_name", F.lit("bad_value").alias("finding"), F.col("load").alias("load_id"), F.col("row").alias("row_id"))
     return cells.union(on_loads.select("column_name", "finding", F.col("load").alias("load_id"), F.lit(-1).cast("long").alias("row_id")))
 
 
+def p1_bad_values(spark: SparkSession, sf: str) -> DataFrame:
+    return _profile(spark, sf).bad_values
+
+
+def p1_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Loads whose cumulative curve is half or more away from that of the load before."""
+    return load_findings(_profile(spark, sf), drift=(1, 2)).filter("finding = 'drift'").select("column_name", F.col("load").alias("load_id"))
+
+
 def _flight_keys(spark: SparkSession, sf: str) -> DataFrame:
     return key_totals(
         table(spark, sf, "ontime"),
@@ -86,6 +99,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).filter("reason is not null").select("raw_id", "reason")
 
 
+_CITIES = [LineField("row_id", "[0-9]+", "long"), LineField("cities", "(?s:.*)"), LineField("tailnum", "(?s:.*)")]
+
+
+def p4_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All flights written to files with line breaks and quotes inside a quoted field, and read back."""
+    quoted = lambda *parts: F.concat(F.lit('"'), F.replace(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("row_id").cast("string"), quoted(F.col("origincityname"), F.col("destcityname")), quoted(F.col("tailnum")))
+    path = shared_path(spark, "flights")
+    table(spark, sf, "ontime").select(line.alias("value")).write.text(path)
+    return parse_lines(read_records(spark, path), "record", _CITIES, []).filter("reason is null").drop("reason")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows, columns = table(spark, sf, "lineitem_rowstore"), table(spark, sf, "lineitem_colstore")
     return compare_copies(
@@ -93,7 +118,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_keys, p4_found, p4_rows, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_bad_values, p1_drift, p2_found, p2_keys, p4_found, p4_rows, p4_records, p5_found)}
 
 _TAIL_SQL = "N[1-9]([0-9]{0,4}|[0-9]{0,3}[A-HJ-NP-Z]|[0-9]{0,2}[A-HJ-NP-Z]{2})"
 _CELLS = """
@@ -159,6 +184,12 @@ SELECT column_name, 'bad_value' AS finding, load_id, row_id FROM cells WHERE v I
 UNION ALL SELECT column_name, 'missing_jump', load_id, -1 FROM pairs WHERE (miss * pn - pmiss * n) * 100 >= n * pn * 15
 UNION ALL SELECT q.column_name, 'shift', q.load_id, -1 FROM pairs q JOIN l1 USING (column_name, load_id) WHERE q.column_name <> 'tailnum' AND pres > 0 AND ppres > 0 AND l1 * 10 >= pres * ppres * 7
 UNION ALL SELECT q.column_name, 'stuck', q.load_id, -1 FROM pairs q JOIN l1 USING (column_name, load_id) WHERE q.column_name = 'tailnum' AND pres > 0 AND top * 10 >= pres""",
+    "p1_bad_values": f"""WITH {_CELLS} SELECT DISTINCT column_name, v AS value FROM cells WHERE v IS NOT NULL AND NOT CASE column_name
+  WHEN 'tailnum' THEN regexp_full_match(v, '{_TAIL_SQL}', 's') WHEN 'originstatefips' THEN v IN (SELECT state_fips FROM airports) ELSE v IN (SELECT CAST(airlineid AS VARCHAR) FROM carriers) END""",
+    "p1_drift": f"""WITH {_CELLS},
+cum AS (SELECT ev.column_name, ev.load_id, pres, ppres, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM ev JOIN pairs q USING (column_name, load_id)
+  WINDOW w AS (PARTITION BY ev.column_name, ev.load_id ORDER BY CASE WHEN ev.column_name = 'airlineid' THEN CAST(v AS DOUBLE) END, v ROWS UNBOUNDED PRECEDING))
+SELECT column_name, load_id FROM cum WHERE pres > 0 AND ppres > 0 GROUP BY ALL HAVING max(abs(ca * ppres - cb * pres)) * 2 >= any_value(pres) * any_value(ppres)""",
     "p1_profile": f"""WITH {_CELLS},
 ord AS (SELECT ev.*, pres, ppres, CASE WHEN ev.column_name = 'airlineid' THEN CAST(v AS DOUBLE) END AS num FROM ev JOIN pairs q USING (column_name, load_id)),
 cum AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM ord WINDOW w AS (PARTITION BY column_name, load_id ORDER BY num, v ROWS UNBOUNDED PRECEDING)),
@@ -174,5 +205,6 @@ FROM pairs q LEFT JOIN l1 USING (column_name, load_id) LEFT JOIN st USING (colum
     "p4_found": f"""WITH {_PARSED} SELECT raw_id, CASE WHEN NOT quoted THEN 'quoting' WHEN commas <> 11 THEN 'column_count' ELSE 'value' END AS reason FROM q WHERE raw_id NOT IN (SELECT raw_id FROM ok)""",
     "p4_rows": f"""WITH {_PARSED} SELECT raw_id, load_id, line_no, CAST(flightdate AS DATE) AS flightdate, uniquecarrier, CAST(airlineid AS INTEGER) AS airlineid, nullif(tailnum, '') AS tailnum, CAST(flightnum AS INTEGER) AS flightnum,
   origin, origincityname, dest, destcityname, CAST(nullif(depdelay, '') AS INTEGER) AS depdelay, CAST(cancelled AS INTEGER) AS cancelled, CAST(distance AS INTEGER) AS distance FROM ok""",
+    "p4_records": "SELECT row_id, coalesce(origincityname, '') || chr(10) || coalesce(destcityname, '') AS cities, nullif(tailnum, '') AS tailnum FROM ontime",
     "p5_found": _p5_sql(),
 }

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import partial
 
 import pytest
 from pyspark.sql import types as T
@@ -53,7 +54,7 @@ def test_profile_matches_brute_force(spark, monkeypatch, partitions, chunk):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     # workers import the module themselves: the chunk has to be in the function that is sent
     original = profile._curves
-    monkeypatch.setattr(profile, "_curves", lambda batches: _small_chunks(original, batches, chunk))
+    monkeypatch.setattr(profile, "_curves", lambda doubts, batches: _small_chunks(partial(original, doubts), batches, chunk))
 
     pick = random.Random(3)
     loads = [(1, None), (2, 1), (3, 2), (4, 3), (5, 9), (6, 4)]
@@ -67,10 +68,13 @@ def test_profile_matches_brute_force(spark, monkeypatch, partitions, chunk):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = profile_loads(df, spark.createDataFrame(loads, LOADS), [ColumnRule("t"), ColumnRule("n", numeric=True)]).collect()
+        got = profile_loads(df, spark.createDataFrame(loads, LOADS), [ColumnRule("t", pattern="[a-d]"), ColumnRule("n", numeric=True)])
+        bad = profile.bad_cells(df, got, [ColumnRule("t", pattern="[a-d]"), ColumnRule("n", numeric=True)], "load_id", "row_id").collect()
+        got = got.loads.collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.row for r in bad) == [r[0] for r in rows if r[2] is not None and r[2].strip(" ") and r[2] not in "abcd"]
     for column, at, numeric in (("t", 2, False), ("n", 3, True)):
         want = brute(rows, loads, at, numeric)
         seen = {r.load: r for r in got if r.column_name == column}
@@ -84,7 +88,8 @@ def test_profile_matches_brute_force(spark, monkeypatch, partitions, chunk):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert profile_loads(df, spark.createDataFrame([], LOADS), [ColumnRule("t")]).collect() == []
+    assert profile_loads(df, spark.createDataFrame([], LOADS), [ColumnRule("t")]).loads.collect() == []
+    assert profile_loads(df, spark.createDataFrame([], LOADS), [ColumnRule("t", pattern="x")]).bad_values.collect() == []
 
 
 def test_findings_and_bad_cells(spark):
@@ -94,7 +99,7 @@ def test_findings_and_bad_cells(spark):
     rules = [ColumnRule("t", pattern="N[0-9]+"), ColumnRule("n", allowed=spark.createDataFrame([(1,), (2,)], "v int"), numeric=True)]
     found = {tuple(r) for r in load_findings(profile_loads(df, loads, rules), shift_columns=("n",), stuck_columns=("t",)).collect()}
     assert found == {("t", "missing_jump", 2), ("n", "shift", 2), ("t", "stuck", 1)}
-    bad = {tuple(r) for r in bad_cells(df, rules, "load_id", "row_id").collect()}
+    bad = {tuple(r) for r in bad_cells(df, profile_loads(df, loads, rules), rules, "load_id", "row_id").collect()}
     assert bad == {("t", 2, 301, "x\n"), ("n", 2, 301, "5")}
 
 
@@ -104,3 +109,10 @@ def test_threshold_is_met_exactly(spark):
     found = load_findings(profile_loads(df, spark.createDataFrame([(1, None), (2, 1)], LOADS), [ColumnRule("t")]))
     assert [tuple(r) for r in found.collect()] == [("t", "missing_jump", 2)]  # 0.40 - 0.25 is 0.15
     assert isinstance(found.schema["load"].dataType, T.LongType)
+
+
+def test_drift(spark):
+    rows = [(i, 1, f"v{i}", 1, "", 0) for i in range(10)] + [(50 + i, 2, f"v{i + 5}", 1, "", 0) for i in range(5)]
+    profile = profile_loads(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, None), (2, 1)], LOADS), [ColumnRule("t")])
+    for limit, found in (((1, 2), [2]), ((51, 100), [])):
+        assert [r.load for r in load_findings(profile, drift=limit).filter("finding = 'drift'").collect()] == found
