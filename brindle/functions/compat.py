@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,10 +73,22 @@ _simple(
     MOD="try_mod({0}, {1})",
     CRC32="CRC32(CAST(CAST({0} AS STRING) AS BINARY))",
     CONV="CONV(CAST({0} AS STRING), {1}, {2})",
-    TRUNCATE="(SIGN({0}) * FLOOR(ABS({0}) * POW(10, {1})) / POW(10, {1}))",
 )
 
 
+@define("TRUNCATE")
+def _truncate(a: Args) -> str:
+    """Towards zero. With a number of digits that is written out the value keeps its type, and decimals stay exact: it is rounded, and where that went away from zero one last digit is taken off."""
+    x, n = a
+    digits = re.fullmatch(r"\(?- ?(\d+)\)?|(\d+)", n.strip())
+    if not digits:
+        return f"(SIGN({x}) * FLOOR(ABS({x}) * POW(10, {n})) / POW(10, {n}))"
+    d = -int(digits[1]) if digits[1] else int(digits[2])
+    d = max(-18, min(d, 30))
+    unit, r = f"{Decimal(1).scaleb(-d):f}", f"ROUND({x}, {d})"
+    return f"CASE WHEN {x} > 0 AND {r} > {x} THEN ROUND({r} - {unit}, {d}) WHEN {x} < 0 AND {r} < {x} THEN ROUND({r} + {unit}, {d}) ELSE {r} END"
+
+
 @define("ATAN")
 def _atan(a: Args) -> str:
     return f"ATAN2({a[0]}, {a[1]})" if len(a) == 2 else f"ATAN({a[0]})"
@@ -123,7 +136,6 @@ def _strcmp(a: Args) -> str:
 _same("ASCII", "BIN", "BIT_LENGTH", "CHARACTER_LENGTH", "CHAR_LENGTH", "CONCAT", "CONCAT_WS", "FIND_IN_SET", "INSTR", "LCASE", "LEFT", "LOCATE", "LOWER", "OCTET_LENGTH", "POSITION", "REPLACE", "REVERSE", "RIGHT", "SPACE", "SUBSTRING_INDEX", "UCASE", "UNHEX", "UPPER", "REPEAT", "LTRIM", "RTRIM", "SOUNDEX", "MD5", "SHA1", "SHA2", "LEVENSHTEIN")
 _simple(
     LENGTH="OCTET_LENGTH({0})",
-    FORMAT="FORMAT_NUMBER({0}, {1})",
     HEX="HEX({0})",
     OCT="CONV(CAST({0} AS STRING), 10, 8)",
     ORD="CAST(CONV(HEX(LEFT({0}, 1)), 16, 10) AS BIGINT)",
@@ -135,6 +147,15 @@ _simple(
 )
 
 
+@define("FORMAT")
+def _format(a: Args) -> str:
+    """Grouped by thousands, with so many decimals, half rounded up. A number of decimals below 0 is 0."""
+    if m := re.fullmatch(r"\(?(- ?)?(\d+)\)?", a[1].strip()):
+        n = 0 if m[1] else int(m[2])
+        return f"FORMAT_NUMBER(ROUND({a[0]}, {n}), {n})"
+    return f"FORMAT_NUMBER({a[0]}, GREATEST(CAST({a[1]} AS INT), 0))"
+
+
 @define("SUBSTR", "SUBSTRING", "MID")
 def _substr(a: Args) -> str:
     return f"IF({a[1]} = 0, '', SUBSTR({', '.join(a)}))"
@@ -235,11 +256,30 @@ _simple(
 )
 for _n, _f in {"DAY": "DAY", "DAYOFMONTH": "DAYOFMONTH", "DAYOFWEEK": "DAYOFWEEK", "DAYOFYEAR": "DAYOFYEAR", "MONTH": "MONTH", "QUARTER": "QUARTER", "WEEKDAY": "WEEKDAY", "YEAR": "YEAR"}.items():
     FUNCTIONS[_n] = lambda a, f=_f: f"{f}({_date(a[0])})"
-for _n in ("HOUR", "MINUTE", "SECOND"):
-    FUNCTIONS[_n] = lambda a, f=_n: f"{f}({_ts(a[0])})"
+for _i, _n in enumerate(("HOUR", "MINUTE", "SECOND")):
+    FUNCTIONS[_n] = lambda a, i=_i: f"CAST({_parts_of_time(a[0])[i]} AS INT)"
 _same("NOW", "CURDATE", "CURRENT_DATE", "CURRENT_TIMESTAMP")
 
 
+def _clock(x: str) -> tuple[str, str, str] | None:
+    """Hours, minutes and seconds of a time that is written out, which may have more than 24 hours; None for anything else."""
+    text = literal(x)
+    m = re.fullmatch(r"\s*(-?)(\d{1,3}):([0-5]?\d)(?::([0-5]?\d(?:\.\d{1,6})?))?\s*", text) if text is not None else None
+    return tuple(f"{m[1] if float(v) else ''}{v}" for v in (m[2].lstrip("0") or "0", m[3].lstrip("0") or "0", (m[4] or "0").lstrip("0") or "0")) if m else None
+
+
+_INTERVAL = re.compile(r"(?:IF\(.* NOT BETWEEN 0 AND 59 .* NULL, )?MAKE_DT_INTERVAL\(|CAST\('[^']*' AS INTERVAL|\(TRY_(?:CAST|TO_TIMESTAMP)\(.*\) - (?:DATE_TRUNC|TRY_CAST)\(", re.S)
+
+
+def _parts_of_time(x: str) -> tuple[str, str, str]:
+    """Hours (24 and more where they are), minutes and seconds of a time, or of a date with one."""
+    if found := _clock(x):
+        return found
+    if _INTERVAL.match(x):
+        return f"(EXTRACT(DAY FROM {x}) * 24 + EXTRACT(HOUR FROM {x}))", f"EXTRACT(MINUTE FROM {x})", f"EXTRACT(SECOND FROM {x})"
+    return tuple(f"{u}({_ts(x)})" for u in ("HOUR", "MINUTE", "SECOND"))
+
+
 @define("TIMESTAMP")
 def _timestamp(a: Args) -> str:
     return _ts(a[0]) if len(a) == 1 else FUNCTIONS["ADDTIME"](a)
@@ -248,13 +288,15 @@ def _timestamp(a: Args) -> str:
 @define("TIME")
 def _time(a: Args) -> str:
     """The time of day, as an interval since midnight."""
+    if found := _clock(a[0]):
+        return f"MAKE_DT_INTERVAL(0, {found[0]}, {found[1]}, {found[2]})"
     return f"({_ts(a[0])} - DATE_TRUNC('DAY', {_ts(a[0])}))"
 
 
 @define("TIME_TO_SEC")
 def _time_to_sec(a: Args) -> str:
-    t = _ts(a[0])
-    return f"(HOUR({t}) * 3600 + MINUTE({t}) * 60 + CAST(SECOND({t}) AS INT))"
+    h, m, s = _parts_of_time(a[0])
+    return f"CAST({h} * 3600 + {m} * 60 + CAST({s} AS INT) AS INT)"
 
 
 @define("UNIX_TIMESTAMP")
@@ -385,7 +427,22 @@ def _date_format(a: Args) -> str:
 
 @define("TIME_FORMAT")
 def _time_format(a: Args) -> str:
-    return _date_format([f"(TIMESTAMP'1970-01-01 00:00:00' + {a[0]})", a[1]])
+    """Like DATE_FORMAT for times, whose hours may be 24 and more: %H and %k give them all."""
+    h, m, s = _parts_of_time(a[0])
+    fmt, out = literal(a[1]), []
+    if fmt is None:
+        raise ValueError("a time format must be a string literal")
+    whole, two = f"CAST({h} AS INT)", lambda x: f"IF(CAST({x} AS INT) < 100, LPAD(CAST(CAST({x} AS INT) AS STRING), 2, '0'), CAST(CAST({x} AS INT) AS STRING))"
+    half = f"IF({whole} % 12 = 0, 12, {whole} % 12)"
+    noon = f"IF({whole} % 24 < 12, 'AM', 'PM')"
+    micro = f"LPAD(CAST(CAST(({s} - FLOOR({s})) * 1000000 AS INT) AS STRING), 6, '0')"
+    codes = {
+        "H": [two(h)], "k": [f"CAST({whole} AS STRING)"], "h": [two(half)], "I": [two(half)], "l": [f"CAST({half} AS STRING)"], "i": [two(m)], "s": [two(s)], "S": [two(s)], "f": [micro], "p": [noon],
+        "T": [two(h), "':'", two(m), "':'", two(s)], "r": [two(half), "':'", two(m), "':'", two(s), "' '", noon],
+    }
+    for part in re.finditer(r"%(.)|([^%]+)", fmt, re.S):
+        out += codes.get(part[1], [quoted(part[1])]) if part[1] else [quoted(part[2])]
+    return f"CONCAT({', '.join(out)})" if out else "''"
 
 
 @define("STR_TO_DATE")
@@ -396,6 +453,9 @@ def _str_to_date(a: Args) -> str:
     wide = {**DATE_CODES, "m": "M", "d": "d", "H": "H", "i": "m", "s": "s", "S": "s"}
     pattern = "".join(wide.get(m[1], "'" + m[1] + "'") if m[1] else re.sub(r"([A-Za-z]+)", r"''\1''", m[2]) for m in re.finditer(r"%(.)|([^%]+)", fmt, re.S))
     has_time = any(f"%{c}" in fmt for c in "HkhIlisSfTr")
+    if has_time and not any(f"%{c}" in fmt for c in "YymcdejbMUuVvXxaWw"):
+        t = f"TRY_TO_TIMESTAMP({a[0]}, '{pattern}')"
+        return f"({t} - DATE_TRUNC('DAY', {t}))"
     return f"CAST(TRY_TO_TIMESTAMP({a[0]}, '{pattern}') AS {'TIMESTAMP' if has_time else 'DATE'})"
 
 
@@ -408,10 +468,56 @@ def _get_format(a: Args) -> str:
 # --- JSON ---
 @define("JSON_EXTRACT")
 def _json_extract(a: Args) -> str:
-    return f"GET_JSON_OBJECT({a[0]}, {a[1]})"
+    """A value as JSON text: strings stay quoted, the null of JSON is 'null', what isn't there is null. Paths with wildcards give an array's text."""
+    if len(a) > 2 or "*" in a[1]:
+        parts = [f"GET_JSON_OBJECT({a[0]}, {p})" for p in a[1:]]
+        return parts[0] if len(parts) == 1 else f"CONCAT('[', ARRAY_JOIN(ARRAY({', '.join(_json_extract([a[0], p]) for p in a[1:])}), ', '), ']')"
+    return f"TO_JSON(TRY_VARIANT_GET(TRY_PARSE_JSON({a[0]}), {a[1]}, 'variant'))"
+
+
+@define("JSON_UNQUOTE")
+def _json_unquote(a: Args) -> str:
+    return f"IF({a[0]} LIKE '\"%\"', TRY_VARIANT_GET(TRY_PARSE_JSON({a[0]}), '$', 'string'), {a[0]})"
+
+
+# --- implicit conversions ---
+_PREFIX = r"^\\s*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
+#: Operators whose operands count as numbers, and those that compare.
+ARITHMETIC = {"+", "-", "*", "/", "%", "MOD", "DIV", "<<", ">>", "&", "|", "^"}
+COMPARISONS = {"=", "<=>", "<>", "!=", "<", "<=", ">", ">="}
+#: Functions whose arguments count as numbers.
+NUMERIC = set("ABS ACOS ASIN ATAN ATAN2 CEIL CEILING COS COT DEGREES EXP FLOOR LN LOG LOG2 LOG10 MOD POW POWER RADIANS ROUND SIGN SIN SQRT TAN TRUNCATE FORMAT OCT BIN SPACE CHAR MAKEDATE MAKETIME SEC_TO_TIME FROM_DAYS".split())
+_RESULTS = {
+    "number": "ABS ACOS ASIN ATAN ATAN2 CEIL CEILING COS COT DEGREES EXP FLOOR LN LOG LOG2 LOG10 MOD PI POW POWER RADIANS RAND ROUND SIGN SIN SQRT TAN TRUNCATE CRC32 ASCII BIT_LENGTH CHARACTER_LENGTH CHAR_LENGTH LENGTH OCTET_LENGTH ORD FIELD FIND_IN_SET INSTR LOCATE POSITION STRCMP INTERVAL DATEDIFF DAY DAYOFMONTH DAYOFWEEK DAYOFYEAR "
+    "HOUR MINUTE SECOND MICROSECOND MONTH QUARTER YEAR WEEK WEEKDAY WEEKOFYEAR YEARWEEK TO_DAYS TO_SECONDS TIME_TO_SEC UNIX_TIMESTAMP TIMESTAMPDIFF EXTRACT COUNT SUM AVG BIT_AND BIT_OR BIT_XOR",
+    "string": "BIN CONCAT CONCAT_WS CONV ELT EXPORT_SET FORMAT HEX INSERT LCASE LEFT LOWER LPAD LTRIM MAKE_SET MID OCT QUOTE REPEAT REPLACE REVERSE RIGHT RPAD RTRIM SPACE SUBSTR SUBSTRING SUBSTRING_INDEX TRIM UCASE UPPER CHAR DATE_FORMAT DAYNAME MONTHNAME TIME_FORMAT GET_FORMAT JSON_UNQUOTE MD5 SHA1 SHA2 SOUNDEX GROUP_CONCAT",
+    "json": "JSON_EXTRACT", "date": "DATE LAST_DAY FROM_DAYS MAKEDATE CURDATE CURRENT_DATE", "time": "TIMESTAMP NOW CURRENT_TIMESTAMP TIMESTAMPADD", "bool": "ISNULL REGEXP_LIKE EXISTS",
+}
+#: What functions give.
+RESULTS = {name: kind for kind, names in _RESULTS.items() for name in names.split()}
+
+
+def number(x: str, kind: str | None) -> str:
+    """A value of a kind as a number: the number that a text begins with or 0, the digits of a date or time, 1 or 0 for truth values."""
+    if kind in ("string", "json"):
+        text = literal(x) if kind == "string" else None
+        if text is not None:
+            m = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", text)
+            return f"({m[1]}{'D' if 'e' not in m[1].lower() and len(m[1]) > 30 else ''})" if m else "0"
+        value = x if kind == "string" else _json_unquote([x])
+        return f"IF({x} IS NULL, NULL, COALESCE(TRY_CAST(NULLIF(REGEXP_EXTRACT({value}, '{_PREFIX}', 1), '') AS DOUBLE), 0D))"
+    if kind == "date":
+        return f"CAST(DATE_FORMAT({x}, 'yyyyMMdd') AS BIGINT)"
+    if kind == "time":
+        return f"CAST(DATE_FORMAT({x}, 'yyyyMMddHHmmss') AS BIGINT)"
+    return f"CAST({x} AS INT)" if kind == "bool" else x
 
 
-FUNCTIONS["JSON_UNQUOTE"] = lambda a: a[0] if a[0].startswith("GET_JSON_OBJECT") else f"TRIM(BOTH '\"' FROM {a[0]})"
+def moment(x: str, kind: str) -> str:
+    """A text that is compared with a date or time; null where it is none."""
+    text = literal(x)
+    plain = text is not None and re.fullmatch(r"\s*\d{4}-\d\d?-\d\d?\s*", text)
+    return f"TRY_CAST({x} AS {'DATE' if kind == 'date' and plain else 'TIMESTAMP'})"
 
 
 # --- operators with other rules than Spark's ---
@@ -425,8 +531,9 @@ OPERATORS: dict[str, Callable[[str, str], str]] = {
     "XOR": lambda x, y: f"(CAST({x} AS BOOLEAN) <> CAST({y} AS BOOLEAN))",
     "&&": lambda x, y: f"({truth(x)} AND {truth(y)})",
     "||": lambda x, y: f"({truth(x)} OR {truth(y)})",
-    "->": lambda x, y: f"GET_JSON_OBJECT({x}, {y})",
-    "->>": lambda x, y: f"GET_JSON_OBJECT({x}, {y})",
+    "TEXT DIV": lambda x, y: f"TRY_CAST(TRY_DIVIDE({x}, {y}) AS BIGINT)",
+    "->": lambda x, y: _json_extract([x, y]),
+    "->>": lambda x, y: _json_unquote([_json_extract([x, y])]),
     "REGEXP": lambda x, y: f"({x} RLIKE {y})",
     "&": lambda x, y: f"({_signed(x)} & {_signed(y)})",
     "|": lambda x, y: f"({_signed(x)} | {_signed(y)})",

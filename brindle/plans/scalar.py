@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.functions.dialect import to_spark
-from brindle.plans.sqlquery import Catalogue, run_sql
+from brindle.functions.dialect import kinds_of, to_spark
+from brindle.plans.sqlquery import Catalogue, run_sql, tables_of
+from brindle.session import table
 
 C = Catalogue()
 QUERIES, SQL = C.queries, C.sql
@@ -15,7 +16,8 @@ def dialect(name: str, text: str, other: str) -> None:
     """A query in the dialect, rewritten when it runs; ``other`` has the same meaning in standard SQL."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return run_sql(to_spark(text))(spark, sf)
+        kinds = kinds_of(*[table(spark, sf, n).schema for n in tables_of(text)])
+        return run_sql(to_spark(text, kinds=kinds))(spark, sf)
 
     C.queries[name], C.sql[name] = query, other
 

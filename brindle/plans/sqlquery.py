@@ -15,9 +15,14 @@ TABLES = (
 _NAME = re.compile(r"\b(" + "|".join(sorted(TABLES, key=len, reverse=True)) + r")\b")
 
 
+def tables_of(text: str) -> list[str]:
+    """The tables that a query's text names."""
+    return sorted(set(_NAME.findall(re.sub(r"'[^']*'", "", text))))
+
+
 def run_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query over the tables that the text names; each is read whole, columns and rows pruned by Catalyst only."""
-    names = sorted(set(_NAME.findall(re.sub(r"'[^']*'", "", text))))
+    names = tables_of(text)
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         register(spark, sf, *names)
