@@ -41,7 +41,7 @@ for _name, _cases in {"fn_manual_math": _MATH, "fn_manual_string": _STRING, "fn_
 dialect("fn_math_more", "SELECT event_id, ROUND(ASIN(user_id - 5), 9) AS asi, ROUND(ATAN(value), 9) AS ata, CEIL(value) AS cei, CONV(user_id, 10, 2) AS con, ROUND(LOG(2, value + 1), 9) AS lg, ROUND(LOG(value + 1), 9) AS l, POWER(user_id, 2) AS po, TRUNCATE(value, 1) AS tr, TRUNCATE(user_id, -1) AS ti FROM events",
         "SELECT event_id, CASE WHEN abs(user_id - 5) <= 1 THEN round(asin(user_id - 5), 9) END AS asi, round(atan(value), 9) AS ata, CAST(ceil(value) AS BIGINT) AS cei, bin(user_id) AS con, round(log2(value + 1), 9) AS lg, round(ln(value + 1), 9) AS l, CAST(user_id * user_id AS DOUBLE) AS po, CAST(trunc(CAST(CAST(value AS VARCHAR) AS DECIMAL(30,15)) * 10) / 10 AS DOUBLE) AS tr, user_id // 10 * 10 AS ti FROM events")
 dialect("fn_string_more", "SELECT row_id, BIN(row_id) AS bi, BIT_LENGTH(tailnum) AS bl, CHARACTER_LENGTH(origincityname) AS ch, CHAR_LENGTH(destcityname) AS cl, OCTET_LENGTH(origincityname) AS ol, LOWER(tailnum) AS lo, UCASE(origin) AS uc, OCT(row_id) AS oc, ORD(NULLIF(tailnum, '')) AS o, POSITION('1' IN tailnum) AS po, QUOTE(tailnum) AS qu, tailnum REGEXP '^N[0-9]+[A-Z]' AS re, SUBSTR(tailnum, 2, 3) AS su, HEX(UNHEX(HEX(tailnum))) AS un, CONCAT('[', SPACE(cancelled + 1), ']') AS sp, MAKE_SET(row_id, 'a', 'b', 'c') AS ms, EXPORT_SET(row_id, 'Y', 'N', ',', 3) AS es, FORMAT(distance * 10.5, 1) AS fo, HEX(BINARY flightnum) AS by FROM ontime",
-        "SELECT row_id, bin(row_id) AS bi, CAST(8 * strlen(tailnum) AS INT) AS bl, CAST(length(origincityname) AS INT) AS ch, CAST(length(destcityname) AS INT) AS cl, CAST(strlen(origincityname) AS INT) AS ol, lower(tailnum) AS lo, upper(origin) AS uc, format('{:o}', row_id) AS oc, CAST(ord(nullif(tailnum, '')) AS BIGINT) AS o, CAST(instr(tailnum, '1') AS INT) AS po, CASE WHEN tailnum IS NULL THEN 'NULL' ELSE '''' || replace(replace(tailnum, '\\', '\\\\'), '''', '\\''') || '''' END AS qu, regexp_matches(tailnum, '^N[0-9]+[A-Z]') AS re, substr(tailnum, 2, 3) AS su, hex(tailnum) AS un, '[' || repeat(' ', cancelled + 1) || ']' AS sp, array_to_string(list_filter([CASE WHEN row_id & 1 > 0 THEN 'a' END, CASE WHEN row_id & 2 > 0 THEN 'b' END, CASE WHEN row_id & 4 > 0 THEN 'c' END], lambda x: x IS NOT NULL), ',') AS ms, concat(CASE WHEN row_id & 1 > 0 THEN 'Y' ELSE 'N' END, ',', CASE WHEN row_id & 2 > 0 THEN 'Y' ELSE 'N' END, ',', CASE WHEN row_id & 4 > 0 THEN 'Y' ELSE 'N' END) AS es, format('{:,.1f}', distance * 10.5::DOUBLE) AS fo, hex(flightnum) AS by FROM ontime")
+        "SELECT row_id, bin(row_id) AS bi, CAST(8 * strlen(tailnum) AS INT) AS bl, CAST(length(origincityname) AS INT) AS ch, CAST(length(destcityname) AS INT) AS cl, CAST(strlen(origincityname) AS INT) AS ol, lower(tailnum) AS lo, upper(origin) AS uc, format('{:o}', row_id) AS oc, CAST('0x' || hex(left(nullif(tailnum, ''), 1)) AS BIGINT) AS o, CAST(instr(tailnum, '1') AS INT) AS po, CASE WHEN tailnum IS NULL THEN 'NULL' ELSE '''' || replace(replace(tailnum, '\\', '\\\\'), '''', '\\''') || '''' END AS qu, regexp_matches(tailnum, '^N[0-9]+[A-Z]') AS re, substr(tailnum, 2, 3) AS su, hex(tailnum) AS un, '[' || repeat(' ', cancelled + 1) || ']' AS sp, array_to_string(list_filter([CASE WHEN row_id & 1 > 0 THEN 'a' END, CASE WHEN row_id & 2 > 0 THEN 'b' END, CASE WHEN row_id & 4 > 0 THEN 'c' END], lambda x: x IS NOT NULL), ',') AS ms, concat(CASE WHEN row_id & 1 > 0 THEN 'Y' ELSE 'N' END, ',', CASE WHEN row_id & 2 > 0 THEN 'Y' ELSE 'N' END, ',', CASE WHEN row_id & 4 > 0 THEN 'Y' ELSE 'N' END) AS es, format('{:,.1f}', distance * 10.5::DOUBLE) AS fo, hex(flightnum) AS by FROM ontime")
 dialect("fn_truth", "SELECT row_id, depdelay IS TRUE AS a, depdelay IS FALSE AS b, depdelay IS UNKNOWN AS c, depdelay IS NOT TRUE AS d, flightnum IS TRUE AS e, depdelay AND cancelled AS f, NOT arrdelay AS g FROM ontime",
         "SELECT row_id, coalesce(depdelay <> 0, FALSE) AS a, coalesce(depdelay = 0, FALSE) AS b, depdelay IS NULL AS c, coalesce(depdelay = 0, TRUE) AS d, coalesce(coalesce(try_cast(regexp_extract(flightnum, '^\\s*([0-9]+)', 1) AS INT), 0) <> 0 AND flightnum IS NOT NULL, FALSE) AS e, (depdelay <> 0) AND (cancelled <> 0) AS f, arrdelay = 0 AS g FROM ontime")
 _N = "CASE WHEN {c} IS NOT NULL THEN coalesce(try_cast(nullif(regexp_extract({c}, '^\\s*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0) END"
