@@ -95,12 +95,21 @@ def table_evolution(spark: SparkSession, sf: str) -> DataFrame:
     return t.read()
 
 
-@C.frame("source_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@C.frame("source_csv", "SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM orders")
 def source_csv(spark: SparkSession, sf: str) -> DataFrame:
-    nation = table(spark, sf, "nation")
-    path = shared_path(spark, "nation-csv")
-    write_delimited(nation, path, separator="|", header=True)
-    return read_delimited(spark, path, nation.schema, separator="|", header=True)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    path = shared_path(spark, "orders-csv")
+    write_delimited(orders, path, separator="|", header=True)
+    return read_delimited(spark, path, orders.schema, separator="|", header=True)
+
+
+@C.frame("source_generator_files", "SELECT c_custkey, c_name, CAST(c_nationkey AS INT) AS c_nationkey FROM customer")
+def source_generator_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that end with a separator, as the benchmark's generator writes them."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+    path = shared_path(spark, "customer-tbl")
+    rows.select(F.concat(*[F.concat(F.col(c).cast("string"), F.lit("|")) for c in rows.columns]).alias("value")).write.text(path)
+    return read_delimited(spark, path, rows.schema, separator="|", trim_last=True)
 
 
 @C.frame("source_spread_by_key", "SELECT c_custkey % 6 AS node, COUNT(*) AS n FROM customer GROUP BY c_custkey % 6")

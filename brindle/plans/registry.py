@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import engines, families, ontime, problems, relational, tpch
+from brindle.plans import catalogs, engines, families, ontime, problems, relational, tpch
 
-MODULES = [problems, tpch, ontime, relational, families, engines]
+MODULES = [problems, tpch, ontime, relational, families, engines, catalogs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

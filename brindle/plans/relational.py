@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.udf import register_vectorised
 from brindle.plans.sqlquery import Catalogue, run_sql
-from brindle.session import table
+from brindle.session import register, table
+from brindle.sources.io import in_order
 
 C = Catalogue()
 QUERIES, SQL = C.queries, C.sql
@@ -29,6 +30,8 @@ C.both("expr_trim", "SELECT row_id, TRIM(origin) AS a, LTRIM(origin) AS b, RTRIM
 C.both("expr_pad", "SELECT n_nationkey, LPAD(n_name, 12, '*') AS l, RPAD(n_name, 12, 'äx') AS r, LPAD(n_name, 3, '-') AS cut FROM nation")
 C.both("expr_between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 10000 AND 20000 AND o_orderdate NOT BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1997-01-01 00:00:00'")
 C.both("expr_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%old%' AND p_brand LIKE 'Brand#1_' AND p_type NOT LIKE 'PROMO%'")
+C.both("expr_decimal_overflow", "SELECT l_orderkey, l_linenumber, TRY_MULTIPLY(CAST('60000000000000000000000000000000000000' AS DECIMAL(38,0)), CAST(l_linenumber AS DECIMAL(10,0))) AS p, CAST(CAST(l_discount AS DECIMAL(5,2)) * CAST(l_tax AS DECIMAL(5,2)) AS DECIMAL(11,4)) AS q FROM lineitem",
+       "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN CAST('60000000000000000000000000000000000000' AS DECIMAL(38,0)) END AS p, CAST(CAST(l_discount AS DECIMAL(5,2)) * CAST(l_tax AS DECIMAL(5,2)) AS DECIMAL(11,4)) AS q FROM lineitem")
 C.both("expr_rlike", "SELECT row_id FROM ontime WHERE tailnum RLIKE '^N[0-9]+[A-Z]'", "SELECT row_id FROM ontime WHERE regexp_matches(tailnum, '^N[0-9]+[A-Z]')")
 C.both("expr_bits", "SELECT event_id, user_id & 6 AS a, user_id | 9 AS o, user_id ^ 5 AS x, ~user_id AS n, user_id DIV 3 AS d FROM events", "SELECT event_id, user_id & 6 AS a, user_id | 9 AS o, xor(user_id, 5) AS x, ~user_id AS n, user_id // 3 AS d FROM events")
 C.both("expr_concat", "SELECT c_custkey, c_name || '/' || c_mktsegment AS label FROM customer")
@@ -49,6 +52,7 @@ C.both("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM
 C.both("join_semi_in", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 C.both("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 C.both("join_not_in_nulls", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(c_nationkey, 3) FROM customer WHERE c_nationkey < 5)")
+C.both("join_not_in_null_left", "SELECT row_id FROM ontime WHERE depdelay NOT IN (SELECT arrdelay FROM ontime WHERE arrdelay IS NOT NULL)")
 C.both("join_not_in_values", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 2000)")
 C.both("join_theta", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND n.n_regionkey <> 2")
 C.both("join_outer_equi_theta", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > n_regionkey * 2000")
@@ -87,13 +91,16 @@ C.both("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_cus
 C.both("agg_having_subquery", "SELECT o_custkey, MAX(o_totalprice) AS m FROM orders GROUP BY o_custkey HAVING MAX(o_totalprice) > (SELECT AVG(o_totalprice) * 1.9 FROM orders)")
 C.both("agg_of_agg", "SELECT MAX(n) AS most, MIN(n) AS least, ROUND(AVG(n), 6) AS mean FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) t")
 C.both("agg_select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+_EVERY_TYPE = "CAST(l_linenumber AS TINYINT) AS t1, CAST(l_linenumber AS SMALLINT) AS t2, CAST(l_linenumber AS INT) AS t3, CAST(l_suppkey AS BIGINT) AS t4, CAST(l_linenumber * 0.5 AS FLOAT) AS t5, CAST(l_discount AS DOUBLE) AS t6, CAST(l_tax AS DECIMAL(5,2)) AS t7, CAST(l_discount AS DECIMAL(38,4)) AS t8, CAST('2020-01-01' AS DATE) AS t9, l_linenumber > 3 AS t12, l_returnflag AS t13, CAST(NULL AS INT) AS t15"
+C.both("agg_select_distinct_types", f"SELECT t1, t2, t3, t4, t5, t6, t7, t8, t9, t10, t11, t12, t13, HEX(t14) AS t14, t15, t16.a AS t16, t17[0] AS t17 FROM (SELECT DISTINCT {_EVERY_TYPE}, CAST('2020-01-01 01:02:03' AS TIMESTAMP_NTZ) AS t10, TIMESTAMP_SECONDS(l_linenumber) AS t11, CAST(l_linestatus AS BINARY) AS t14, NAMED_STRUCT('a', l_linenumber) AS t16, ARRAY(l_returnflag) AS t17 FROM lineitem) d",
+       f"SELECT DISTINCT {_EVERY_TYPE}, TIMESTAMP '2020-01-01 01:02:03' AS t10, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(l_linenumber) AS t11, HEX(l_linestatus) AS t14, l_linenumber AS t16, l_returnflag AS t17 FROM lineitem")
 C.both("agg_rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 C.both("agg_cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, MAX(l_quantity) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 C.both("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 C.both("agg_conditional", "SELECT carrier, CAST(SUM(CASE WHEN depdelay > 10 THEN 1 ELSE 0 END) AS BIGINT) AS late, CAST(SUM(CAST(arrdelay > 30 AS INT)) AS BIGINT) AS very_late FROM ontime GROUP BY carrier")
 C.both("agg_over_join", "SELECT n_name, COUNT(*) AS n, MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 C.both("agg_empty_input", "SELECT COUNT(*) AS n, MAX(o_totalprice) AS m, SUM(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
-C.both("agg_first_any", "SELECT n_regionkey, FIRST(n_regionkey) AS f, ANY_VALUE(n_regionkey) AS a FROM nation GROUP BY n_regionkey")
+C.both("agg_first_any", "SELECT o_custkey, FIRST(c_name) AS f, ANY_VALUE(c_acctbal) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 C.both("agg_statistics", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6) AS sd, ROUND(VAR_POP(l_quantity), 6) AS vp, ROUND(PERCENTILE(l_quantity, 0.5), 6) AS med FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6) AS sd, ROUND(VAR_POP(l_quantity), 6) AS vp, ROUND(QUANTILE_CONT(l_quantity, 0.5), 6) AS med FROM lineitem GROUP BY l_returnflag")
 
 # --- windows ---
@@ -121,11 +128,17 @@ C.both("sort_tuple", "SELECT n_nationkey FROM nation ORDER BY struct(n_regionkey
 C.both("sort_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 20")
 
 
-@C.frame("sort_within_partitions", "SELECT s_nationkey, COUNT(*) AS n, MIN(s_acctbal) AS lowest FROM supplier GROUP BY s_nationkey")
+@C.frame("sort_within_partitions", "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS inversions FROM orders")
 def sort_within_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Distribute by a key, sort inside each partition, and use the order: the first row of each key is its lowest."""
-    d = table(spark, sf, "supplier").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_acctbal")
-    return d.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("lowest"))
+    """Distribute by a key and sort inside each partition: the order in which rows come is what is checked."""
+    register(spark, sf, "orders")
+    return in_order(spark.sql("SELECT o_custkey, o_totalprice FROM orders DISTRIBUTE BY o_custkey SORT BY o_custkey, o_totalprice"), ["o_custkey", "o_totalprice"])
+
+
+@C.frame("sort_cluster_by", "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS inversions FROM lineitem")
+def sort_cluster_by(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark, sf, "lineitem")
+    return in_order(spark.sql("SELECT l_suppkey FROM lineitem CLUSTER BY l_suppkey"), ["l_suppkey"])
 
 
 # --- set operations ---
@@ -169,6 +182,22 @@ def source_sample(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").filter(F.pmod(F.xxhash64("n_nationkey", F.lit(7)), F.lit(2)) == 0).select("n_nationkey")
 
 
+C.both("source_tablesample_rows", "SELECT COUNT(*) AS n FROM (SELECT * FROM orders TABLESAMPLE (120 ROWS)) t", "SELECT CAST(120 AS BIGINT) AS n")
+C.both("source_tablesample_whole", "SELECT o_orderkey FROM orders TABLESAMPLE (100 PERCENT)", "SELECT o_orderkey FROM orders")
+
+
+@C.frame("source_tablesample_bounds", "SELECT TRUE AS fifth, TRUE AS bucket, TRUE AS same, TRUE AS own")
+def source_tablesample_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples can't be fixed rows: their sizes lie near what is asked for (a bucket of x out of y is x / y of the rows), one seed gives the same rows, and all are rows of the table."""
+    register(spark, sf, "orders")
+    take = lambda how: f"(SELECT o_orderkey FROM orders TABLESAMPLE ({how}) REPEATABLE (7))"
+    n, fifth, bucket = "(SELECT COUNT(*) FROM orders)", f"(SELECT COUNT(*) FROM {take('20 PERCENT')} a)", f"(SELECT COUNT(*) FROM {take('BUCKET 3 OUT OF 8')} b)"
+    near = lambda x, part: f"{x} BETWEEN {n} * {part} * 0.7 AND {n} * {part} * 1.3"
+    same = f"(SELECT COUNT(*) FROM {take('20 PERCENT')} a JOIN {take('20 PERCENT')} b USING (o_orderkey)) = {fifth}"
+    own = f"(SELECT COUNT(*) FROM {take('20 PERCENT')} a JOIN orders USING (o_orderkey)) = {fifth}"
+    return spark.sql(f"SELECT {near(fifth, 0.2)} AS fifth, {near(bucket, 0.375)} AS bucket, {same} AS same, {own} AS own")
+
+
 C.queries["source_tablesample"] = run_sql("SELECT c_custkey FROM customer TABLESAMPLE (20 PERCENT) REPEATABLE (7)")
 C.both("source_transform", "SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, v STRING) FROM nation", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation")
 
