@@ -1,20 +1,27 @@
 """Template residue, filler and error pages in place of content, found by character n-gram models.
 
 Models of hashed character 5- and 3-grams: natural prose, counted over the corpus's distinct sentences without
-those that a first model marks, and unfilled placeholders, filler of two kinds and error notices, from labelled
-seeds. A position's score for a class is
-the log likelihood ratio of the n-grams that end there, class against prose. Windows whose mean score is
-high localise residue; what decides is a window itself for placeholders (confirmed by an exact check of
-what stands there), the marked share of a sentence for filler, and that of the text for notices.
+those that a first model marks, and unfilled placeholders, written-out prompts, filler of two kinds and error
+notices, from labelled seeds and from what the first model marks without doubt. A position's score for a class
+is the log likelihood ratio of the n-grams that end there, class against prose. Windows whose mean score is
+high localise residue; what decides is a window itself for prompts, the marked share of a sentence for filler,
+and that of the text for notices.
+
+A second channel has the shape of the text: each run of words one letter, each number one digit, all else as
+it is, so that the marks around a field stand side by side however long the field is. A placeholder is a
+window of shape n-grams that are likelier around fields than in prose, where the letters between the marks
+don't say the contrary.
 """
 
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,8 +30,11 @@ from pyspark.sql import DataFrame
 from brindle.llm import seeds
 from brindle.session import map_batches, stage
 
-#: Orders of n-grams with their weights, buckets of each order, and the share of probability for n-grams never seen.
-ORDERS, BUCKETS, UNSEEN = {5: 0.6, 3: 0.4}, 1 << 18, 0.1
+#: Orders of n-grams with their weights, of letters and of shapes; buckets of each order, and the share of probability for n-grams never seen.
+ORDERS, SHAPE_ORDERS, BUCKETS, UNSEEN = {5: 0.6, 3: 0.4}, {4: 0.5, 3: 0.5}, 1 << 18, 0.1
+ROWS = len(ORDERS) + len(SHAPE_ORDERS)
+#: Share of the labelled natural texts in the prose model, and of what a first model marks in the class models.
+NATURAL, LEARNT = 0.05, 0.3
 #: Buckets of one block of counts in transport, and characters that are scored at once.
 BLOCK, SPAN = 1024, 1 << 20
 #: Digests of sentences that a task remembers, so that a repeated one moves once; beyond, it starts again.
@@ -37,7 +47,8 @@ class Rule:
     """A class's window width in characters, the mean score that marks a window, and what decides.
 
     ``share`` of the characters must be marked: of the text, or with ``sentence`` characters given, of one
-    sentence of at least that length (so a sentence that only mentions filler is none).
+    sentence of at least that length (so a sentence that only mentions filler is none). Without a share one
+    window is enough.
     """
 
     width: int
@@ -47,42 +58,52 @@ class Rule:
     label: str | None = None
 
 
+@dataclass(frozen=True)
+class ShapeRule:
+    """A placeholder's windows: of so many shape n-grams, whose sum must be so high, and of the best ``width`` letters at or between the marks, taken with the mean of all that are there.
+
+    Letters must speak for a field, and both together reach ``total``; shapes that ordinary writing doesn't have at all (``clear``) need no letters.
+    """
+
+    grams: int
+    width: int
+    least: float
+    letters: float
+    total: float
+    clear: float
+
+
 #: Texts shorter than this are no case.
 LEAST = 5
+PLACEHOLDER = ShapeRule(4, 6, 1.5, 0.0, 5.5, 17.0)
+#: The least that a shape n-gram scores.
+AGAINST = -0.5
 #: Rules by model. Named stand-ins ("dummy text") have a model of their own, so that neither dilutes the other's shares, and are filler like nonsense Latin.
 RULES = {
-    "placeholder": Rule(6, 0.6),
+    "prompt": Rule(10, 2.2, label="placeholder"),
     "filler": Rule(16, 0.9, share=0.6, sentence=LEAST),
     "stand_in": Rule(16, 0.9, share=0.6, sentence=LEAST, label="filler"),
     "notice": Rule(16, 0.7, share=0.65),
 }
-LABELS = tuple(dict.fromkeys(r.label or name for name, r in RULES.items()))
-
-# Names that stand in a template where its marks alone would say too little, longest first.
-_FIELD = "|".join(regex.escape(n) for n in sorted({n.replace("_", " ") for n in seeds.FIELD_NAMES} | {*seeds.FIELD_NAMES}, key=lambda n: (-len(n), n)))
-_WORD = r"[^\W\d_][\w .,:;/\-'’]{0,500}"
-# What can be an unfilled placeholder. The pieces in turn: pairs of template marks, open ones, single marks around a field name, written-out prompts, values of failed filling.
-SHAPES = (
-    r"(?=[{\[<%$#@*&~_【«(（:〇○])(?:\{\{\{?[^{}\n]{1,500}(?:\}\}\}?|[:\s]|$)|\{%[^%\n]{1,500}%\}|<%=?[^%\n]{1,500}%>|[$#@%]\{[^{}\n]{1,500}\}|\{\$[^{}\n]{1,500}\}|\[\[[^\[\]\n]{1,500}\]\]|\[%[^%\n]{1,500}%\]|%\([^()\n]{1,500}\)[sd]|\*\|[^|\n]{1,500}\|\*|@@\w[^@\n]{0,500}@@|##\w[^#\n]{0,500}##|<!--[^<>\n]{1,500}-->"
-    r"|\{ ?[^\W\d_][\w.\-]{0,500} ?\}|\{ ?(?:[\w.\-'’]+[ ,:]+){0,5}(?:" + _FIELD + r")(?:[ ,:]+[\w.\-'’]+){0,5} ?\}|\[" + _WORD + r"\]|<(?:" + _FIELD + r")>|<[^\W\d_][\w .,:\-'’]{2,500}>|&lt;" + _WORD + r"&gt;|%[^\W\d_][\w.]{2,500}%|\$[^\W\d_][\w.]{2,500}\$|([%$~]|__)(?:[\w.\-'’]+ ){0,5}(?:" + _FIELD + r")\1|(?<![\w:]):(?:[\w.\-'’]+ ){0,5}(?:" + _FIELD + r"):(?![\w:])|~[^\W\d_][\w. ]{2,500}~|__[^\W\d_][\w.]{2,500}__|(?<!\w)%(?:\d\$)?[sd](?!\w)|\{\d\}|【[^】\n]{1,500}】|«[^»\n]{1,500}»"
-    r"|_{5,}|〇{2,}|○{2,}|[(（][^()（）\n]{0,500}(?:here|hier|ici|aquí|здесь|ここ|ergänzen|einfügen|compléter|入力|名前)[^()（）\n]{0,500}[)）]|(?<!\w)#(?:n/a|ref!|value!|name\?|null!)|\[object object\]|\[x+\]|\[(?:\.{3}|…)\])"
-    r"|(?<![^\W\d_])(?:insert \w+ here|\w+ goes here|hier \w+ eintragen|todo:|fixme|\btbd\b|undefined(?: undefined| stars?|,|/\d)|(?:dear|hello|hi|hallo|bonjour|hola|from|by) undefined(?!\w)|missing translation|(?:x{4,}|xx stars)(?!\w)|translation missing:|missing_key|(?:\w+_)?not_set(?!\w)|null null|à compléter|nan(?: nan|/\d| stars?)(?!\w))"
-)
-# Forms too short for a window to be sure of. Names of two letters in 【】 aren't, they are headings as well.
-_SHORT = "|".join(n for n in seeds.FIELD_NAMES if len(n) <= 2)
-_CERTAIN = regex.compile(r"(?<!\w)tbd(?!\w)|〇{2,}|○{2,}|([~$:])(?:" + _SHORT + r")\1|[<«](?:" + _SHORT + ")[>»]")
-
-
-_SHAPE, _SENTENCE = regex.compile(SHAPES), regex.compile(r"[^.!?。！？]+")
+LABELS = ("placeholder", "filler", "notice")
+#: Sentences of which so much is marked by one class teach its model if they are so long, and are not prose. Nonsense shares its words with nothing else, so less of it is enough.
+SURE, LONG = {"filler": 0.3, "stand_in": 0.7, "notice": 0.85}, 20
+
+_SENTENCE = regex.compile(r"[^.!?。！？]+")
 # A sentence with its end, or ends alone; and the digits that n-grams hold alike.
 _WITH_END, _DIGIT = regex.compile(r"[^.!?。！？]+[.!?。！？ ]*|[.!?。！？ ]+"), regex.compile("[0-9]")
 _BREAK = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+")
 # Mark-up that ends a line.
 _TAG = regex.compile(r"</?(?:br|p|div|li|ul|ol|h[1-6]|tr|td|table|hr|blockquote)\b[^<>]{0,200}>")
 # Labelled filler as whole sentences: short ones score too little in a window among other text.
-_WHOLE = frozenset(" ".join(s.split()).strip(" .!?。") for s in seeds.FILLER)
-#: Characters around a marked one in which a placeholder's shape is looked for: more than any shape is long.
-AROUND = 520
+_WHOLE = frozenset(" ".join(s.split()).strip(" .!?。") for s in (*seeds.FILLER, *(r for row in seeds.KEYS for r in (row, row[::-1]))))
+# Finds texts that hold any of them, to be looked at by sentences.
+_HOLDS = ahocorasick.Automaton()
+for _w in _WHOLE:
+    _HOLDS.add_word(_w, True)
+_HOLDS.make_automaton()
+#: Characters that the parts of a very long text have in common: more than a window or a short filler sentence.
+OVERLAP = 2048
 
 
 def normal(text: str) -> str:
@@ -103,6 +124,40 @@ def _codes(text: str) -> np.ndarray:
     return codes
 
 
+def _shape_table() -> np.ndarray:
+    """Of the characters of the first plane what they are in a shape: letters one letter, numbers one digit, blanks one blank, all else itself."""
+    table = np.arange(1 << 16, dtype=np.uint64)
+    kinds = {"L": 97, "M": 97, "N": 48, "Z": 32}
+    for c in range(1 << 16):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in kinds and c != 0x3007:
+            table[c] = kinds[kind]
+    return table
+
+
+_SHAPES = _shape_table()
+
+
+def shapes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shape of characters, and where each of its signs stands. Words with a blank between them are one run; numbers, too, are one sign."""
+    t = np.where(codes < 1 << 16, _SHAPES[np.minimum(codes, 0xFFFF).astype(np.int64)], codes)
+    first = np.ones(len(t), bool)
+    first[1:] = (t[1:] != t[:-1]) | ((t[1:] != 97) & (t[1:] != 48))
+    at = np.flatnonzero(first)
+    t = t[at]
+    if len(t) > 2:
+        joint = np.zeros(len(t), bool)
+        joint[1:-1] = (t[1:-1] == 32) & (t[:-2] == 97) & (t[2:] == 97)
+        keep = ~joint
+        keep[1:] &= ~joint[:-1]
+        at, t = at[keep], t[keep]
+    return t, at
+
+
+#: Signs of a shape that are no marks.
+_PLAIN = frozenset((10, 32, 48, 97))
+
+
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
     """The bucket of each n-gram, by its last character but for the first order - 1 ones."""
     n = len(codes) - order + 1
@@ -115,36 +170,52 @@ def _grams(codes: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _count(texts: list[str], into: np.ndarray) -> None:
-    """Adds the n-grams of normalised texts; texts are held apart by a line feed that normalising has left in none of them."""
+def _count(texts: list[str], into: np.ndarray, channels: tuple[bool, bool] = (True, True)) -> None:
+    """Adds the n-grams of normalised texts, of letters and of shapes; texts are held apart by a line feed that normalising has left in none of them."""
     codes = _codes("\n".join(texts))
-    apart = codes == 10
-    for i, order in enumerate(ORDERS):
-        b = _grams(codes, order)
-        if len(b):
-            crossing = np.convolve(apart, np.ones(order), "valid") > 0
-            into[i] += np.bincount(b[~crossing], minlength=BUCKETS)
+    parts = [(codes, ORDERS)] if channels[0] else []
+    if channels[1]:
+        parts.append((shapes(codes)[0], SHAPE_ORDERS))
+    row = 0 if channels[0] else len(ORDERS)
+    for signs, orders in parts:
+        apart = signs == 10
+        for order in orders:
+            b = _grams(signs, order)
+            if len(b):
+                crossing = np.convolve(apart, np.ones(order), "valid") > 0
+                into[row] += np.bincount(b[~crossing], minlength=BUCKETS)
+            row += 1
+
+
+#: What is counted: prose in both channels, then the letters of each class's sentences.
+_COUNTED = ROWS + len(RULES) * len(ORDERS)
 
 
 def _counter(known=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts texts, with what stands before them if a second column has it; with score tables in ``known``, only texts that these don't mark."""
+    """Counts texts, with what stands before them if a second column has it; with score tables in ``known``, texts that these mark count for their class if they are sure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(ORDERS), BUCKETS), np.int64)
+        total = np.zeros((_COUNTED, BUCKETS), np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
             leads = b.column(1).to_pylist() if b.num_columns > 1 else [""] * len(texts)
-            found = classify(known.value, texts) if known else [{}] * len(texts)
+            found = classify(known.value, texts, by_model=True, sure=SURE) if known else [{}] * len(texts)
             held, size = [], 0
+            sure: dict[str, list[str]] = {}
             for t, lead, f in zip(texts, leads, found, strict=True):
                 if t and not f:
                     held.append(normal(lead + t))
                     size += len(t)
+                elif t and len(t) >= LONG and len(f) == 1 and (one := next(iter(f.items())))[1] >= SURE.get(one[0], 2):
+                    sure.setdefault(one[0], []).append(normal(t))
                 if size > SPAN:
-                    _count(held, total)
+                    _count(held, total[:ROWS])
                     held, size = [], 0
             if held:
-                _count(held, total)
+                _count(held, total[:ROWS])
+            for name, own in sure.items():
+                at = ROWS + list(RULES).index(name) * len(ORDERS)
+                _count(own, total[at : at + len(ORDERS)], (True, False))
         blocks = total.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         if len(used):
@@ -164,14 +235,14 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_corpus(df: DataFrame, text: str, lead: str | None = None, known=None) -> np.ndarray:
-    """n-gram counts of all texts, or those that the broadcast tables ``known`` don't mark, [order, bucket]: of fixed size whatever the corpus; each task sends at most that."""
+    """n-gram counts, [row, bucket]: first those of prose, which are all texts or those that the broadcast tables ``known`` don't mark, then of each class's sure texts. Of fixed size whatever the corpus; each task sends at most that."""
     schema = "block int, counts array<long>"
     parts = map_batches(df.select(df[text].cast("string").alias("t"), *([df[lead]] if lead else [])), _counter(known), schema)
     rows = map_batches(parts.repartition("block"), _add_blocks, schema).collect()
-    total = np.zeros((len(ORDERS) * BUCKETS // BLOCK, BLOCK), np.int64)
+    total = np.zeros((_COUNTED * BUCKETS // BLOCK, BLOCK), np.int64)
     for r in rows:
         total[r["block"]] = r["counts"]
-    return total.reshape(len(ORDERS), BUCKETS)
+    return total.reshape(_COUNTED, BUCKETS)
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,59 +295,113 @@ def distinct_sentences(df: DataFrame, text: str) -> DataFrame:
 def prose_counts(df: DataFrame, text: str) -> np.ndarray:
     """n-gram counts of distinct sentences, without those that tables fitted on all distinct ones mark: repeated residue doesn't become prose."""
     once = stage(distinct_sentences(df, text), "sentences")
-    first = df.sparkSession.sparkContext.broadcast(fit(count_corpus(once, "t", "lead")))
+    first = df.sparkSession.sparkContext.broadcast(fit(count_corpus(once, "t", "lead")[:ROWS]))
     return count_corpus(once, "t", "lead", first)
 
 
-def fit(prose: np.ndarray) -> dict[str, np.ndarray]:
-    """Score tables [order, bucket] of each class: weighted log ratios of its n-gram shares to those of prose."""
-    weights = np.array(list(ORDERS.values()))[:, None]
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
-    def log_share(counts: np.ndarray) -> np.ndarray:
-        n = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        return np.log((1 - UNSEEN) * counts / n + UNSEEN / BUCKETS)
 
-    base = log_share(prose)
+def fit(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Score tables [row, bucket] of each class: weighted log ratios of its n-gram shares to those of prose. ``counts``: those of prose, or all that ``count_corpus`` gives."""
+    weights = np.array([*ORDERS.values(), *SHAPE_ORDERS.values()])[:, None]
+    log = lambda share: np.log((1 - UNSEEN) * share + UNSEEN / BUCKETS)
+    natural = np.zeros((ROWS, BUCKETS), np.int64)
+    _count([normal(s) for s in seeds.natural()], natural)
+    prose = _shares(counts[:ROWS])
+    base = log((1 - NATURAL) * prose + NATURAL * _shares(natural) if counts[:ROWS].any() else _shares(natural))
+    n = len(ORDERS)
     tables = {}
     for name, make in seeds.CLASSES.items():
-        counts = np.zeros_like(prose)
-        _count([normal(s) for s in make()], counts)
-        tables[name] = (weights * (log_share(counts) - base)).astype(np.float32)
+        made, own = make(), np.zeros((ROWS, BUCKETS), np.int64)
+        _count([normal(s) for s in made], own[:n], (True, False))
+        share = _shares(own[:n])
+        if name in RULES and len(counts) > ROWS:
+            at = ROWS + list(RULES).index(name) * n
+            learnt = counts[at : at + n]
+            if learnt.any():
+                share = (1 - LEARNT) * share + LEARNT * _shares(learnt)
+        tables[name] = (weights[:n] * (log(share) - base[:n])).astype(np.float32)
+        if name == "placeholder":
+            _count([normal(s) for s in seeds.in_context(made)], own, (False, True))
+            # what stands around marks says little against them
+            tables["shape"] = np.maximum(weights[n:] * (log(_shares(own[n:])) - base[n:]), AGAINST).astype(np.float32)
     return tables
 
 
+def _scores(table: np.ndarray, orders: dict[int, float], grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """Each sign's score by the n-grams that end there and begin in the same text."""
+    score = np.zeros(len(place), np.float32)
+    for i, order in enumerate(orders):
+        if len(grams[i]):
+            score[order - 1 :] += np.where(place[order - 1 :] >= order - 1, table[i][grams[i]], 0)
+    return score
+
+
 def windows(tables: dict[str, np.ndarray], texts: list[str]) -> dict[str, list[np.ndarray]]:
-    """Of each class, which characters of each normalised text lie in a window that is marked."""
-    codes = _codes("".join(texts))
-    size = np.array([len(t) for t in texts], np.int64)
+    """Of each model, which characters of each normalised text lie in a window that is marked; ``placeholder`` by shapes and letters together."""
+    # line feeds before each text, which are in none, hold them apart: so many that no window of shapes has signs of two
+    gap = PLACEHOLDER.grams
+    codes = _codes("".join("\n" * gap + t for t in texts) + "\n" * gap)
+    size = np.array([len(t) + gap for t in texts] + [gap], np.int64)
     end = np.cumsum(size)
-    place = np.arange(len(codes)) - np.repeat(end - size, size)
-    rest = np.repeat(size, size) - place  # characters from here to the text's end
-    grams = [(order, _grams(codes, order)) for order in ORDERS]
+    place = np.arange(len(codes)) - np.repeat(end - size, size) - gap
+    rest = np.repeat(size - gap, size) - np.maximum(place, 0)  # characters from here to the text's end
+    grams = [_grams(codes, order) for order in ORDERS]
     marked = {}
+    split = lambda mask: [m[gap:] for m in np.split(mask, end[:-1])[:-1]]
     for name, rule in RULES.items():
-        score = np.zeros(len(codes), np.float32)
-        for i, (order, b) in enumerate(grams):
-            if len(b):
-                score[order - 1 :] += np.where(place[order - 1 :] >= order - 1, tables[name][i][b], 0)
-        w = np.minimum(rule.width, np.repeat(size, size))
-        sums = np.concatenate([[0], np.cumsum(score, dtype=np.float64)])
+        sums = np.concatenate([[0], np.cumsum(_scores(tables[name], ORDERS, grams, place), dtype=np.float64)])
+        w = np.minimum(rule.width, np.repeat(size - gap, size))
         # a text shorter than the window must say as much as a longer one in its fewer characters
-        at = np.flatnonzero(rest >= w)
+        at = np.flatnonzero((rest >= w) & (place >= 0))
         at = at[sums[at + w[at]] - sums[at] >= rule.mean * rule.width]
         edge = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + w[at], minlength=len(codes) + 1)
-        marked[name] = np.split(np.cumsum(edge[:-1]) > 0, end[:-1])
+        marked[name] = split(np.cumsum(edge[:-1]) > 0)
+    letters = _scores(tables["placeholder"], ORDERS, grams, place)
+    marked["placeholder"] = split(_placeholders(tables["shape"], codes, letters, place))
     return marked
 
 
-def _shaped(text: str, mask: np.ndarray) -> bool:
-    """Whether something of a placeholder's shape has a marked character."""
-    at = np.flatnonzero(mask)
-    for near in np.split(at, np.flatnonzero(np.diff(at) > AROUND) + 1):
-        lo = max(0, int(near[0]) - AROUND)
-        if any(mask[lo + m.start() : lo + m.end()].any() for m in _SHAPE.finditer(text[lo : int(near[-1]) + AROUND])):
-            return True
-    return False
+def _placeholders(table: np.ndarray, codes: np.ndarray, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which characters lie in a window of shapes that is marked."""
+    signs, at = shapes(codes)
+    score = np.zeros(len(signs), np.float32)
+    apart = np.flatnonzero(signs == 10)
+    since = np.arange(len(signs)) - np.repeat(apart, np.diff(np.append(apart, len(signs)))) if len(apart) else np.arange(len(signs))
+    for i, order in enumerate(SHAPE_ORDERS):
+        b = _grams(signs, order)
+        if len(b):
+            score[order - 1 :] += np.where(since[order - 1 :] >= order - 1, table[i][b], 0)
+    mask = np.zeros(len(codes), bool)
+    r = PLACEHOLDER
+    sums = np.concatenate([[0], np.cumsum(score, dtype=np.float64)])
+    letter_sums = np.concatenate([[0], np.cumsum(letters, dtype=np.float64)])
+    back = max(SHAPE_ORDERS) - 1
+    k = min(r.grams, len(signs))
+    for i in np.flatnonzero(sums[k:] - sums[:-k] >= r.least):
+        last = next((j for j in range(i + k - 1, i - 1, -1) if since[j]), None)
+        if last is None:
+            continue
+        # with the signs before that its first n-gram has, but for those of another text
+        first = max(i - back, last - int(since[last]) + 1)
+        lo, hi = int(at[first]), int(at[last + 1]) if last + 1 < len(at) else len(codes)
+        # letters count from the first mark to the last one, or on to where words end that nothing closes
+        marks = [j for j in range(first, last + 1) if signs[j] not in _PLAIN]
+        if not marks:
+            continue
+        lo = max(lo, int(at[marks[0]]) - 1)
+        if len(marks) > 1:
+            hi = min(hi, int(at[marks[-1]]) + 2)
+        starts = np.arange(max(lo - 2, lo - max(0, int(place[lo]))), max(lo + 1, hi - r.width + 1))
+        best = (letter_sums[np.minimum(starts + r.width, hi)] - letter_sums[starts]).max()
+        # what the best letters say, and all of them
+        best = (best + (letter_sums[hi] - letter_sums[lo]) * r.width / max(hi - lo, r.width)) / 2
+        shape = sums[i + k] - sums[i]
+        if shape >= r.clear or (best >= r.letters and shape + best >= r.total):
+            mask[lo:hi] = True
+    return mask
 
 
 def _sentences(text: str, breaks: Iterable[int]) -> Iterator[tuple[int, int]]:
@@ -293,76 +418,89 @@ def _sentences(text: str, breaks: Iterable[int]) -> Iterator[tuple[int, int]]:
 
 
 def judge(text: str, marked: dict[str, np.ndarray], breaks: Iterable[int] = ()) -> dict[str, float]:
-    """Each class that applies to a normalised text with lines ending at ``breaks``, with the share of its characters that windows mark."""
+    """Each model that applies to a normalised text with lines ending at ``breaks``, with the share of its characters that windows mark."""
     found = {}
-    for name, rule in RULES.items():
-        mask = marked[name]
-        certain = [m.span() for m in _CERTAIN.finditer(text)] if name == "placeholder" else []
-        if certain:
-            mask = mask.copy()
-            for lo, hi in certain:
-                mask[lo:hi] = True
+    for name, mask in marked.items():
         count = int(np.count_nonzero(mask))
         if not count:
             continue
-        if name == "placeholder":
-            ok = bool(certain) or _shaped(text, mask)  # a window marks some of a placeholder's characters: its shape must be there
+        rule = RULES.get(name)
+        if rule is None or rule.share is None:
+            ok = True
         elif rule.sentence is None:
             ok = count >= rule.share * len(mask)
         else:
             ok = any(b - a >= rule.sentence and np.count_nonzero(mask[a:b]) >= rule.share * (b - a) for a, b in _sentences(text, breaks))
         if ok:
-            label = rule.label or name
-            found[label] = max(count / len(mask), found.get(label, 0))
+            found[name] = count / len(mask)
     return found
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A text in parts of at most ``SPAN`` characters, cut between sentences where one ends in the part's last eighth."""
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """A text in parts of at most ``SPAN`` characters with their first places, cut between sentences where one ends in the part's last eighth. Each part but the first begins ``OVERLAP`` characters early."""
     lo = 0
     while len(text) - lo > SPAN:
         cut = max(text.rfind(end, lo + SPAN - SPAN // 8, lo + SPAN) for end in (". ", "! ", "? ", "。"))
         hi = cut + 1 if cut >= 0 else lo + SPAN
-        yield text[lo:hi]
-        lo = hi
-    yield text[lo:]
+        yield lo, text[lo:hi]
+        lo = hi - min(OVERLAP, (hi - lo) // 2)
+    yield lo, text[lo:]
+
 
+def classify(tables: dict[str, np.ndarray], texts: list[str | None], *, by_model: bool = False, sure: dict[str, float] | None = None) -> list[dict[str, float]]:
+    """The classes of each text with their coverage, or the models that mark it; nothing for null, empty and very short ones. Texts are taken in parts of ``SPAN`` characters.
 
-def classify(tables: dict[str, np.ndarray], texts: list[str | None]) -> list[dict[str, float]]:
-    """The classes of each text with their coverage; nothing for null, empty and very short ones. Texts are taken in parts of ``SPAN`` characters."""
+    With ``sure`` a model applies already where it marks its share of the text that is given there.
+    """
     found: list[dict[str, float]] = [{} for _ in texts]
-    pieces: list[tuple[int, str, list[int]]] = []
-    notice: dict[int, list[tuple[int, float]]] = {}
+    pieces: list[tuple[int, int, str, list[int]]] = []
+    notice: dict[int, list[tuple[int, int]]] = {}
     for i, t in enumerate(texts):
         n, breaks = lines(t) if t else ("", [])
         if len(n.strip()) >= LEAST:
-            at = 0
-            for part in _parts(n):
-                pieces.append((i, part, [x - at for x in breaks if at < x < at + len(part)] if breaks else []))
-                at += len(part)
+            done = 0
+            for at, part in _parts(n):
+                pieces.append((i, done - at, part, [x - at for x in breaks if at < x < at + len(part)] if breaks else []))
+                done = at + len(part)
     lo = 0
     while lo < len(pieces):
         hi, room = lo, SPAN
         while hi < len(pieces) and (room > 0 or hi == lo):
-            room -= len(pieces[hi][1])
+            room -= len(pieces[hi][2])
             hi += 1
-        part = [p[1] for p in pieces[lo:hi]]
+        part = [p[2] for p in pieces[lo:hi]]
         marked = windows(tables, part)
         for k, t in enumerate(part):
             own = {c: m[k] for c, m in marked.items()}
-            i, _, breaks = pieces[lo + k]
-            for a, b in _sentences(t, breaks):
+            i, seen, _, breaks = pieces[lo + k]
+            for a, b in _sentences(t, breaks) if next(_HOLDS.iter(t), None) else ():
                 if t[a:b] in _WHOLE:
                     own["filler"][a:b] = True
-            notice.setdefault(i, []).append((len(t), np.count_nonzero(own["notice"]) / len(t)))
-            if any(m.any() for m in own.values()) or _CERTAIN.search(t):
+            notice.setdefault(i, []).append((len(t) - seen, int(np.count_nonzero(own["notice"][seen:]))))
+            if any(m.any() for m in own.values()):
                 for c, share in judge(t, own, breaks).items():
                     found[i][c] = max(share, found[i].get(c, 0))
+                for c, least in (sure or {}).items():
+                    if (share := np.count_nonzero(own[c]) / len(t)) >= least:
+                        found[i][c] = max(share, found[i].get(c, 0))
         lo = hi
     for i, parts in notice.items():
-        if len(parts) > 1 and sum(n * s for n, s in parts) < RULES["notice"].share * sum(n for n, _ in parts):
+        if len(parts) > 1:
+            # in parts it is the whole text's share that counts
+            n, marks = (sum(x) for x in zip(*parts, strict=True))
             found[i].pop("notice", None)
-    return found
+            if marks >= RULES["notice"].share * n:
+                found[i]["notice"] = marks / n
+    if by_model:
+        return found
+    out: list[dict[str, float]] = []
+    for f in found:
+        labels: dict[str, float] = {}
+        for name, share in f.items():
+            label = RULES[name].label or name if name in RULES else name
+            labels[label] = max(share, labels.get(label, 0))
+        out.append(labels)
+    return out
 
 
 def _detect(tables, keep: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
