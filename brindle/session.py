@@ -71,6 +71,20 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, what: str, column: str, buckets: int) -> DataFrame:
+    """``stage`` with the rows of each of a column's values in one bucket, so that a join on it moves the other side only.
+
+    Writing shuffles nothing: each task writes one file for each bucket that it has rows of. The name in the
+    catalog is dropped at once; the files stay until the session's JVM ends.
+    """
+    spark, name = df.sparkSession, f"brindle_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", shared_path(spark, what)).format("parquet").saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -65,3 +65,21 @@ def test_no_registered_query_is_a_cartesian_product_of_large_tables(spark):
     small = {"join_cross", "join_theta", "sub_row_not_in", "join_not_in_values", "join_not_in_nulls"}
     for name in [n for n in entry.queries() if n.startswith(("tpch_", "ontime_", "join_")) and n not in small]:
         assert "CartesianProduct" not in plan(spark, name), name
+
+
+def test_staging_in_buckets(spark):
+    """A join on the bucketed column moves the other side only, and the name in the catalog is gone."""
+    from brindle.session import stage_bucketed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = stage_bucketed(spark.range(1000).selectExpr("CAST(id % 7 AS INT) AS part", "id"), "buckets", "part", 4)
+        other = spark.range(7).selectExpr("CAST(id AS INT) AS part", "id * 10 AS extra")
+        joined = rows.join(other, "part")
+        assert joined.count() == 1000
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1, text
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("brindle_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
