@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.report import PivotSpec, differing_rows, json_value, pivot_report
+from brindle.functions.jsonpath import json_paths
+from brindle.operators.report import PivotSpec, differing_rows, json_value, pivot_report, report_table
 from brindle.plans.sqlquery import Catalogue
 from brindle.session import shared_path, table
 from brindle.sources.catalog import partition_filter
@@ -124,6 +125,14 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", json_value("props", "$.k").alias("k"))
 
 
+@C.frame("json_paths", "SELECT event_id, [json_extract(props, '$.k')::VARCHAR] AS plain, ['\"' || event_type || '\"', user_id::VARCHAR] AS wild, [user_id::VARCHAR] AS deep, [(user_id + 1)::VARCHAR, (user_id + 2)::VARCHAR] AS slice, CASE WHEN user_id > 500 THEN ['\"' || event_type || '\"'] ELSE CAST([] AS VARCHAR[]) END AS chosen FROM events")
+def json_paths_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Members, wildcards, recursion, slices and filters over documents made of each event."""
+    made = F.expr("concat('{\"k\": ', get_json_object(props, '$.k'), ', \"a\": {\"t\": \"', event_type, '\", \"u\": ', user_id, '}, \"l\": [', user_id, ',', user_id + 1, ',', user_id + 2, '], \"m\": [{\"n\": ', user_id, ', \"t\": \"', event_type, '\"}]}')")
+    d = table(spark, sf, "events").select("event_id", made.alias("doc"))
+    return json_paths(d, "doc", {"plain": "$.k", "wild": "$.a.*", "deep": "$..u", "slice": "$.l[1:]", "chosen": "$.m[?(@.n > 500 && @.t)].t"}, ["event_id"])
+
+
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 _PIVOT = ", ".join(f"ROUND(AVG(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in _TYPES)
 
@@ -135,6 +144,13 @@ def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("bucket", *[F.round(t, 6).alias(t) for t in _TYPES])
 
 
+@C.frame("report_table", "SELECT 'bucket:' || bucket AS row, " + ", ".join(f"coalesce(MAX(n) FILTER (kind = '{t}'), '') AS \"{t}\"" for t in ("signup", "view")) + " FROM (SELECT user_id % 10 AS bucket, CASE event_type WHEN 'click' THEN 'view' ELSE event_type END AS kind, CAST(COUNT(*) AS VARCHAR) AS n FROM events GROUP BY ALL) WHERE bucket >= 7 GROUP BY bucket")
+def report_table_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks counted as views; only the last columns and rows."""
+    events = table(spark, sf, "events").withColumn("bucket", F.col("user_id") % 10)
+    return report_table(events, "value", "kind.view = event_type.click; rows: bucket | limit(3); cols: kind | notag | limit(2); cell: cnt")
+
+
 @C.frame("report_difference", "(SELECT s_nationkey AS k, 'left' AS side FROM supplier EXCEPT SELECT c_nationkey, 'left' FROM customer WHERE c_nationkey < 20) UNION ALL (SELECT c_nationkey, 'right' FROM customer WHERE c_nationkey < 20 EXCEPT SELECT s_nationkey, 'right' FROM supplier)")
 def report_difference(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
