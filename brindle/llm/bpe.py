@@ -20,6 +20,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bounds of what one encoder remembers: states of the machine, and encoded pieces with their longest length.
 STATES, PIECES, PIECE_BYTES = 1 << 17, 1 << 17, 64
 _NEVER = 1 << 60
+#: What an id without a token decodes to.
+_UNKNOWN = "\ufffd".encode()
 
 
 def tokenizer_dir() -> str:
@@ -175,11 +177,26 @@ class Encoder:
             self._reset()
         state = 0
         for byte in data:
-            found = self._steps[state].get(byte) or self._step(state, byte)
+            found = self._steps[state].get(byte)
+            if found is None:
+                if len(self._states) > STATES:  # in one very long piece, too
+                    state = self._again(state)
+                found = self._step(state, byte)
             state = found[0]
             yield from found[1]
         yield from self._states[state][1][-1][1]
 
+    def _again(self, state: int) -> int:
+        """Forgets all states but one, which gets a new number."""
+        key = self._states[state]
+        self._reset()
+        to = self._ids.get(key)
+        if to is None:
+            to = self._ids[key] = len(self._states)
+            self._states.append(key)
+            self._steps.append({})
+        return to
+
     def piece(self, text: str) -> tuple[int, ...]:
         ids = tuple(self.stream(text.encode("utf-8", "surrogatepass")))
         if len(text) <= PIECE_BYTES:
@@ -226,13 +243,18 @@ class StreamDecoder:
     """Token ids back to text, part by part; a character whose bytes are spread over tokens comes out when its last byte has come."""
 
     def __init__(self, tokens: dict[int, bytes]):
+        """An id that has no token gives U+FFFD."""
         self.tokens = tokens
         self.machine = Utf8Machine()
         self.open = b""
 
     def feed(self, ids: Iterable[int]) -> str:
         """The text that is complete with these ids; bytes that form no character become U+FFFD."""
-        data = self.open + b"".join(map(self.tokens.__getitem__, ids))
+        ids = list(ids)
+        try:
+            data = self.open + b"".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            data = self.open + b"".join([self.tokens.get(i, _UNKNOWN) for i in ids])
         if data.isascii():
             self.open = b""
             return data.decode("ascii")
@@ -259,7 +281,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder of a vocabulary file, made on first use."""
+    """This process's encoder of a vocabulary file, made on first use. A bare name is that of a file sent along with the job."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Merges.load(path))
+        from pyspark import SparkFiles
+
+        _ENCODERS[path] = Encoder(Merges.load(path if "/" in path else SparkFiles.get(path)))
     return _ENCODERS[path]

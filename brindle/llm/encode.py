@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from brindle.llm.bpe import StreamDecoder, encoder, tokenizer_dir
@@ -21,6 +21,18 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
     return f"{tokenizer_dir()}/{name}.json"
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file to the executors, once for each application, so that none must have it; returns the name that ``encoder`` finds it by."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _SENT:
+        context.addFile(path)
+        _SENT.add((context.applicationId, path))
+    return path.rstrip("/").split("/")[-1]
+
+
 def parts(batches: Iterator[pa.RecordBatch], size: Callable[[object], int], last: int = -1) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batches, cut where the last column's values reach ``PART``, with these values as Python objects."""
     for b in batches:
@@ -68,7 +80,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], *, ids: str = "ids",
     if ids in keep:
         raise ValueError(f"a kept column is named {ids}")
     out = T.StructType([*df.select(*keep).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return map_batches(df.select(*keep, df[text].cast("string").alias("__text")), _encode(path or vocabulary(), len(keep), to_arrow_schema(out)), out)
+    return map_batches(df.select(*keep, df[text].cast("string").alias("__text")), _encode(ship(df.sparkSession, path or vocabulary()), len(keep), to_arrow_schema(out)), out)
 
 
 def _decode(path: str, keep: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -87,10 +99,10 @@ def _decode(path: str, keep: int, schema: pa.Schema) -> Callable[[Iterator[pa.Re
 
 
 def decode_ids(df: DataFrame, ids: str, keep: list[str], *, text: str = "text", path: str | None = None) -> DataFrame:
-    """The ``keep`` columns and each row's text. Null and empty lists give ''. Ids must be of the vocabulary: others are a KeyError."""
+    """The ``keep`` columns and each row's text. Null and empty lists give ''. An id that isn't of the vocabulary, a special token's among them, or null gives U+FFFD."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if text in keep:
         raise ValueError(f"a kept column is named {text}")
     out = T.StructType([*df.select(*keep).schema.fields, T.StructField(text, T.StringType())])
-    return map_batches(df.select(*keep, df[ids].alias("__ids")), _decode(path or vocabulary(), len(keep), to_arrow_schema(out)), out)
+    return map_batches(df.select(*keep, df[ids].alias("__ids")), _decode(ship(df.sparkSession, path or vocabulary()), len(keep), to_arrow_schema(out)), out)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encoder
-from brindle.llm.encode import _length, parts, vocabulary
-from brindle.session import map_batches, stage
+from brindle.llm.encode import _length, parts, ship, vocabulary
+from brindle.session import map_batches, stage_bucketed
 
 _ITEMS = "item long, piece int, start long, size int, part int, seat long"
 
@@ -190,13 +190,16 @@ def fill_containers(df: DataFrame, item: str, text: str, *, capacity: int = 2048
     """
     spark = df.sparkSession
     rows = df.select(df[item].cast("long").alias("item"), df[text].cast("string").alias("text"))
-    items = stage(map_batches(rows, _sizes(path or vocabulary(), capacity), _ITEMS), "sizes")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = stage_bucketed(map_batches(rows, _sizes(ship(spark, path or vocabulary()), capacity), _ITEMS), "sizes", "part", n)
     counts = items.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     seats = spark.sparkContext.broadcast(_seats(plan(histogram, capacity)))
     # a size's parts are as many as the table has input splits, however many items it has
     earlier = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("size", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = items.join(before, ["size", "part"]).withColumn("seat", F.col("seat") + F.col("before")).select("item", "piece", "start", "size", "seat")
+    # one row a part, of at most ``capacity`` sizes: beyond a size that can be broadcast it goes to the items' buckets, which stay where they are
+    offsets = before.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("size", "before"))).alias("before"))
+    ranked = items.join(offsets, "part").select("item", "piece", "start", "size", (F.col("seat") + F.element_at("before", F.col("size"))).alias("seat"))
     placed = map_batches(ranked, _place(seats), "container_id long, item long, piece int, start long, size int")
     return placed.select("container_id", F.col("item").alias(item), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))

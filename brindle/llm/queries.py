@@ -10,7 +10,7 @@ from brindle.llm.packing import fill_containers
 from brindle.llm.residue import find_residue
 from brindle.llm.termfreq import BUDGET, mark_terms, term_counts
 from brindle.operators.hotkeys import clean_code
-from brindle.session import table
+from brindle.session import stage, table
 
 #: Tokens that a container of problem 7 holds.
 CAPACITY = 2048
@@ -47,6 +47,21 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return fill_containers(table(spark, sf, "documents"), "doc_id", "text", capacity=CAPACITY)
 
 
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: every text once and whole, none too full, none divided without need, and hardly more than the least number."""
+    documents = table(spark, sf, "documents").filter("text <> ''").select("doc_id")
+    placed = stage(p7_containers(spark, sf), "placed")
+    fill = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count(F.lit(1)).alias("containers"), F.max("container_id").alias("last"), F.coalesce(F.sum((F.col("t") > CAPACITY).cast("long")), F.lit(0)).alias("too_full"), F.sum("t").alias("tokens"))
+    each = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("top"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("t"))
+    wrong = (F.col("n") != F.col("pieces")) | (F.col("top") + 1 != F.col("n")) | (F.col("end") != F.col("t"))
+    needless = (F.col("n") > 1) & (F.col("t") <= CAPACITY)
+    sound = each.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("not_whole"), F.coalesce(F.sum(needless.cast("long")), F.lit(0)).alias("divided"))
+    missing = documents.join(placed.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    few = F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY) * 1.01 + 1
+    # four rows of totals
+    return sound.crossJoin(fill).crossJoin(missing).select("documents", "missing", "not_whole", "divided", "too_full", (F.col("last") + 1 - F.col("containers")).alias("holes"), few.alias("few"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_residue(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id")
 
@@ -55,7 +70,7 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
     return find_residue(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id", *[F.round(c, 4).alias(f"{c}_share") for c in ("placeholder", "filler", "notice")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_spilled, p6_ids, p6_decoded, p7_containers, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_spilled, p6_ids, p6_decoded, p7_containers, p7_check, p8_found, p8_classes)}
 
 _TERMS = """
 w AS (SELECT row_id, upper(trim(origin, ' ')) AS o, upper(trim(dest, ' ')) AS d, upper(trim(tailnum, ' ')) AS t FROM ontime),
@@ -66,5 +81,6 @@ SQL = {
     "p3_found": f"WITH {_TERMS} SELECT vocabulary, term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT * FROM m",
     "p3_spilled": f"WITH {_TERMS} SELECT * FROM m",
+    "p7_check": "SELECT COUNT(*) AS documents, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS holes, TRUE AS few FROM documents WHERE text <> ''",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -134,3 +134,31 @@ def test_other_library(spark):
     e = encoder(vocabulary())
     for text in ("It's 3 o'clock.", "  two  blanks ", "<|endoftext|>"):
         assert e.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_unknown_ids_and_bounded_states(spark, monkeypatch):
+    from brindle.llm import bpe
+    from brindle.llm.encode import decode_ids, vocabulary
+
+    known = bpe.encoder(vocabulary())
+    hello = known.encode("héllo")
+    df = spark.createDataFrame([(1, hello), (2, [hello[0], 10**8, -1]), (3, None), (4, [])], "i int, ids array<int>")
+    got = {r.i: r.text for r in decode_ids(df, "ids", ["i"]).collect()}
+    first = known.merges.tokens[hello[0]].decode()
+    assert got == {1: "héllo", 2: first + "��", 3: "", 4: ""}
+    # one piece that needs more states than are kept
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(6000))
+    want = known.encode(long)
+    monkeypatch.setattr(bpe, "STATES", 50)
+    few = bpe.Encoder(known.merges)
+    assert few.encode(long) == want and len(few._states) <= 60
+
+
+def test_vocabulary_is_sent_along(spark):
+    """Executors find the file by its name among those sent with the job."""
+    from pyspark import SparkFiles
+
+    from brindle.llm.encode import ship, vocabulary
+
+    assert ship(spark, vocabulary()) == "byte_bpe_50k.json"
+    assert open(SparkFiles.get("byte_bpe_50k.json")).read(1) == open(vocabulary()).read(1)

@@ -123,3 +123,25 @@ def test_operator(spark):
     pieces = Counter(r.doc_id for r in rows)
     assert all(len(count(texts[i])) > 100 for i, k in pieces.items() if k > 1 and i != 303) and pieces[303] == 2
     assert fill_containers(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_items_stay_where_they_are(spark):
+    """Where a part's offsets can't be broadcast they go to the items' buckets: no exchange lies between reading and placing the items."""
+    from brindle.llm.packing import fill_containers
+
+    df = spark.createDataFrame([(i, "word " * (i % 40 + 1)) for i in range(400)], "id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        d = fill_containers(df, "id", "text", capacity=64)
+        rows = d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.id for r in rows) == list(range(400))
+    fill = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert max(fill.values()) <= 64 and sorted(fill) == list(range(len(fill)))
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert "Bucketed: true" in plan
