@@ -525,7 +525,8 @@ OPERATORS: dict[str, Callable[[str, str], str]] = {
     "/": lambda x, y: f"TRY_DIVIDE({x}, {y})",
     "%": lambda x, y: f"TRY_MOD({x}, {y})",
     "MOD": lambda x, y: f"TRY_MOD({x}, {y})",
-    "DIV": lambda x, y: f"IF({y} = 0, NULL, {x} DIV {y})",
+    # as decimals, since either may be a double, which DIV doesn't take
+    "DIV": lambda x, y: f"IF({y} = 0, NULL, TRY_CAST({x} AS DECIMAL(38,10)) DIV TRY_CAST({y} AS DECIMAL(38,10)))",
     "<<": lambda x, y: f"IF({y} >= 64 OR {y} < 0, 0, SHIFTLEFT(CAST({x} AS BIGINT), CAST({y} AS INT)))",
     ">>": lambda x, y: f"IF({y} >= 64 OR {y} < 0, 0, SHIFTRIGHTUNSIGNED(CAST({x} AS BIGINT), CAST({y} AS INT)))",
     "XOR": lambda x, y: f"(CAST({x} AS BOOLEAN) <> CAST({y} AS BOOLEAN))",

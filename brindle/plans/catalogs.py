@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.plans.sqlquery import Catalogue
-from brindle.session import register, shared_path, table
+from brindle.session import plain_path, register, shared_path, table
 from brindle.sources import io, workload
 from brindle.sources.catalog import Catalog
 from brindle.sources.tables import KeyedTable
@@ -392,13 +392,55 @@ def source_sorted_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return io.in_order(t.raw(), ["o_custkey", "o_orderkey"])
 
 
-@C.frame("source_workload", "SELECT * FROM (VALUES ('read', 100::BIGINT), ('scan_range', 100::BIGINT), ('write', 100::BIGINT)) AS t(kind, n)")
+@C.frame("source_workload", "SELECT * FROM (VALUES ('read', 6::BIGINT), ('rows_read', 6::BIGINT + 3 * 21), ('rows_written', 60::BIGINT), ('scan_all', 0::BIGINT), ('scan_range', 3::BIGINT), ('write', 60::BIGINT)) AS t(what, n)")
 def source_workload(spark: SparkSession, sf: str) -> DataFrame:
-    """Operations of three patterns in turn."""
-    from itertools import islice
-
-    ops = islice(workload.round_robin(workload.append(), workload.rand("read", 0, 1000, 3), workload.rand_scan_range(0, 1000, 20)), 300)
-    return spark.createDataFrame([(o.kind,) for o in ops], "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Patterns of writes, reads and scans run on a keyed table."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    t = KeyedTable.create(spark, shared_path(spark, "workload"), schema, key=["k"])
+    ops = [*workload.times(60, workload.append()), *workload.times(9, workload.round_robin(workload.rand("read", 0, 60, 3), workload.rand("read", 0, 60, 4), workload.rand_scan_range(0, 60, 21)))]
+    done = workload.run(t, ops, lambda k: (k, f"value {k}"))
+    return spark.createDataFrame(list(done.items()), "what string, n long")
+
+
+@C.frame("source_update_rows", "SELECT COUNT(*) AS n, SUM(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS changed FROM customer")
+def source_update_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of another database updated by key in batches. The database is a file that all tasks open, one at a time."""
+    import sqlite3
+
+    path = plain_path(shared_path(spark, "update")) + ".db"
+    rows = table(spark, sf, "customer").select("c_custkey")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE customers (c_custkey INTEGER PRIMARY KEY, note TEXT)")
+    con.executemany("INSERT INTO customers VALUES (?, 'old')", ((r.c_custkey,) for r in rows.toLocalIterator()))
+    con.commit()
+    io.update_rows(rows.filter("c_custkey % 2 = 0").withColumn("note", F.lit("new")).coalesce(1), "customers", ["c_custkey"], lambda: sqlite3.connect(path), batch=500)
+    n, changed = con.execute("SELECT COUNT(*), SUM(note = 'new') FROM customers").fetchone()
+    con.close()
+    return spark.createDataFrame([(n, changed)], "n long, changed long")
+
+
+@C.frame("ddl_narrow_column", "SELECT p_partkey, CAST(p_size AS SMALLINT) AS p_size FROM part UNION ALL SELECT -1, CAST(7 AS SMALLINT)")
+def ddl_narrow_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Values from before are cast where they are read."""
+    c = _catalog(spark, sf, "part")
+    return _each(c, "CREATE TABLE t PRIMARY KEY (p_partkey) USING mmt AS SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part", "ALTER TABLE t MODIFY COLUMN p_size SMALLINT", "INSERT INTO t VALUES (-1, 7)", "SELECT * FROM t")
+
+
+@C.frame("dialect_random_queries", "SELECT 30::BIGINT AS queries, 0::BIGINT AS failed")
+def dialect_random_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries made at random from the dialect's functions, each of which must be read and run over the whole table."""
+    from brindle.functions.dialect import kinds_of, to_spark
+    from brindle.sources.randomsql import Corpus
+
+    register(spark, sf, "ontime")
+    kinds = kinds_of(table(spark, sf, "ontime").schema)
+    failed = 0
+    for q in Corpus("ontime", "row_id", kinds, seed=11).queries(30):
+        try:
+            spark.sql(to_spark(q, kinds=kinds)).collect()  # ten rows at most
+        except Exception:  # noqa: BLE001
+            failed += 1
+    return spark.createDataFrame([(30, failed)], "queries long, failed long")
 
 
 @C.frame("source_change_stream", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 5 <> 0")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import KeyedTable
+
 
 @dataclass(frozen=True)
 class Op:
@@ -49,6 +52,33 @@ def round_robin(*patterns: Iterator[Op]) -> Iterator[Op]:
             yield next(p)
 
 
+def times(n: int, pattern: Iterator[Op]) -> Iterator[Op]:
+    """The first n operations of a pattern."""
+    return itertools.islice(pattern, n)
+
+
+def key_range(ops: list[Op]) -> tuple[int, int] | None:
+    """The least and greatest key that some operations touch; None where they touch none or all."""
+    keys = [k for o in ops if o.kind != "scan_all" for k in (o.key, o.end - 1 if o.kind == "scan_range" else o.key)]
+    return (min(keys), max(keys)) if keys else None
+
+
+def run(table: KeyedTable, ops: Iterable[Op], row: Callable[[int], tuple]) -> dict[str, int]:
+    """Operations on a keyed table, in their order: how many of each kind, and rows written and read. Neighbouring writes are one append of ``row(key)``."""
+    done = {"write": 0, "read": 0, "scan_range": 0, "scan_all": 0, "rows_written": 0, "rows_read": 0}
+    for writes, group in itertools.groupby(ops, lambda o: o.kind == "write"):
+        if writes:
+            keys = [o.key for o in group]
+            table.append(table.spark.createDataFrame([row(k) for k in keys], table.schema), version=table.next_version())
+            done["write"] += len(keys)
+            done["rows_written"] += len(keys)
+            continue
+        for o in group:
+            done["rows_read"] += read(table.read(), table.info.key[0], o).count()
+            done[o.kind] += 1
+    return done
+
+
 def chance(weighted: list[tuple[float, Iterator[Op]]], seed: int = 0) -> Iterator[Op]:
     pick = random.Random(seed)
     weights = [w for w, _ in weighted]

@@ -83,3 +83,15 @@ def test_staging_in_buckets(spark):
         assert not [t for t in spark.catalog.listTables() if t.name.startswith("brindle_")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_quantified_subqueries_are_one(spark):
+    """``x >= ALL (query)`` asks the query for several aggregates: Spark runs it once."""
+    text = plan(spark, "dialect_all_any")
+    assert "ReusedSubquery" in text and len({*re.findall(r"Subquery subquery#\d+", text)}) == 1
+
+
+def test_newest_rows_are_limited_before_the_shuffle(spark):
+    """Of each key one row a task moves, however many versions it has, and the files' footers aren't needed to plan."""
+    text = plan(spark, "table_current_rows")
+    assert re.search(r"WindowGroupLimit .*Partial", text) and len(re.findall(r"Exchange hashpartitioning", text)) == 1

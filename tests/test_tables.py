@@ -349,3 +349,30 @@ def test_versions_of_several_writers(spark, tmp_path):
     for _ in range(80):
         t.next_version()
     assert same.next_version() == 172
+
+
+def test_command_line(spark, tmp_path):
+    from brindle.sources import cli
+
+    root = f"file://{tmp_path}/root"
+    c = Catalog(spark, root, "keyedfirst")
+    c.sql("CREATE KEYED DATABASE d")
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    c.create_table("d.t", schema, "mmt", ["k"], Partitioning("hash", "k", count=3))
+    assert cli.main(["write", root, "d.t", "100", "--threads", "3", "--seed", "5"], spark)["rows"] == 100
+    whole = cli.main(["read", root, "SELECT * FROM d.t"], spark)
+    parts = cli.main(["read", root, "SELECT * FROM d.t WHERE k IS NOT NULL", "--threads", "2", "--partitions"], spark)
+    assert whole["rows"] == parts["rows"] == 100 and parts["queries"] == 3
+    for bad in ("SELECT * FROM d.t WHERE k = 1 AND v IN (SELECT v FROM d.t WHERE k = 2)", "SELECT * FROM d.t JOIN d.u ON TRUE"):
+        with pytest.raises(ValueError):
+            cli.split_query(bad, ["p0"])
+
+
+def test_workload_runs(spark, tmp_path):
+    from brindle.sources import workload as w
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    t = KeyedTable.create(spark, f"{tmp_path}/t", schema, key=["k"])
+    ops = [*w.times(5, w.append(3)), w.Op("read", 4), w.Op("scan_range", 3, 6), *w.times(1, w.append(3)), w.Op("scan_all")]
+    assert w.run(t, ops, lambda k: (k, "x")) == {"write": 6, "read": 1, "scan_range": 1, "scan_all": 1, "rows_written": 6, "rows_read": 1 + 3 + 5}
+    assert w.key_range(ops) == (3, 7) and w.key_range([w.Op("scan_all")]) is None
