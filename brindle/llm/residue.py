@@ -15,6 +15,7 @@ don't say the contrary.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -303,20 +304,33 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
+@functools.cache
+def _labelled() -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """n-gram shares of the labelled natural texts, and of each class's: letters, and the shapes of placeholders among words."""
+    n = len(ORDERS)
+    natural = np.zeros((ROWS, BUCKETS), np.int64)
+    _count([normal(s) for s in seeds.natural()], natural)
+    own = {}
+    for name, make in seeds.CLASSES.items():
+        texts = make()
+        counts = np.zeros((ROWS, BUCKETS), np.int64)
+        _count([normal(s) for s in texts], counts[:n], (True, False))
+        if name == "placeholder":
+            _count([normal(s) for s in seeds.in_context(texts)], counts, (False, True))
+        own[name] = _shares(counts)
+    return _shares(natural), own
+
+
 def fit(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Score tables [row, bucket] of each class: weighted log ratios of its n-gram shares to those of prose. ``counts``: those of prose, or all that ``count_corpus`` gives."""
     weights = np.array([*ORDERS.values(), *SHAPE_ORDERS.values()])[:, None]
     log = lambda share: np.log((1 - UNSEEN) * share + UNSEEN / BUCKETS)
-    natural = np.zeros((ROWS, BUCKETS), np.int64)
-    _count([normal(s) for s in seeds.natural()], natural)
-    prose = _shares(counts[:ROWS])
-    base = log((1 - NATURAL) * prose + NATURAL * _shares(natural) if counts[:ROWS].any() else _shares(natural))
+    natural, labelled = _labelled()
+    base = log((1 - NATURAL) * _shares(counts[:ROWS]) + NATURAL * natural if counts[:ROWS].any() else natural)
     n = len(ORDERS)
     tables = {}
-    for name, make in seeds.CLASSES.items():
-        made, own = make(), np.zeros((ROWS, BUCKETS), np.int64)
-        _count([normal(s) for s in made], own[:n], (True, False))
-        share = _shares(own[:n])
+    for name, own in labelled.items():
+        share = own[:n]
         if name in RULES and len(counts) > ROWS:
             at = ROWS + list(RULES).index(name) * n
             learnt = counts[at : at + n]
@@ -324,9 +338,8 @@ def fit(counts: np.ndarray) -> dict[str, np.ndarray]:
                 share = (1 - LEARNT) * share + LEARNT * _shares(learnt)
         tables[name] = (weights[:n] * (log(share) - base[:n])).astype(np.float32)
         if name == "placeholder":
-            _count([normal(s) for s in seeds.in_context(made)], own, (False, True))
             # what stands around marks says little against them
-            tables["shape"] = np.maximum(weights[n:] * (log(_shares(own[n:])) - base[n:]), AGAINST).astype(np.float32)
+            tables["shape"] = np.maximum(weights[n:] * (log(own[n:]) - base[n:]), AGAINST).astype(np.float32)
     return tables
 
 
