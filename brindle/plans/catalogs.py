@@ -170,7 +170,7 @@ def ddl_two_catalogs(spark: SparkSession, sf: str) -> DataFrame:
 @C.frame("ddl_policy", "SELECT * FROM (VALUES ('keyedfirst', TRUE), ('sparkfirst', FALSE)) AS t(policy, keyed)")
 def ddl_policy(spark: SparkSession, sf: str) -> DataFrame:
     root, name = shared_path(spark, "catalog"), f"both_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {name}")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_path(spark, name)}'")
     rows = []
     for policy in ("keyedfirst", "sparkfirst"):
         c = Catalog(spark, root, policy)
@@ -216,7 +216,8 @@ def ddl_alter_key(spark: SparkSession, sf: str) -> DataFrame:
 def ddl_passed_on(spark: SparkSession, sf: str) -> DataFrame:
     """Statements on Spark's own tables go to Spark as they are."""
     c, name = _catalog(spark, sf, "nation"), f"plain_{uuid.uuid4().hex}"
-    _each(c, f"CREATE DATABASE {name}", f"CREATE TABLE {name}.t (k BIGINT) USING parquet", f"INSERT INTO {name}.t SELECT n_nationkey FROM nation", f"ALTER TABLE {name}.t ADD COLUMNS (v STRING)", f"ANALYZE TABLE {name}.t COMPUTE STATISTICS", "SET spark.sql.ansi.enabled")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_path(spark, name)}'")
+    _each(c, f"CREATE TABLE {name}.t (k BIGINT) USING parquet", f"INSERT INTO {name}.t SELECT n_nationkey FROM nation", f"ALTER TABLE {name}.t ADD COLUMNS (v STRING)", f"ANALYZE TABLE {name}.t COMPUTE STATISTICS", "SET spark.sql.ansi.enabled")
     found = spark.table(f"{name}.t").select("k", F.lit("x").alias("v"))
     rows = spark.createDataFrame(found.collect(), found.schema)  # 25 rows, kept as the database goes
     c.sql(f"DROP DATABASE {name} CASCADE")
@@ -330,6 +331,7 @@ def dml_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sources and sinks ---
 def _derby(spark: SparkSession) -> str:
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     return f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
 
 

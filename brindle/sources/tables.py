@@ -387,14 +387,14 @@ class KeyedTable:
 
 
 def newest(rows: DataFrame, key: list[str], version: str, mark: str) -> DataFrame:
-    """Of each key the row with the highest version; a deletion wins among equal versions, then the greatest row.
+    """Of each key the row with the highest version; a deletion wins among equal versions, then the row with the greatest hash, which is always the same one.
 
     Only the first row of each key is asked for, so Spark limits every key before the shuffle: a key with
-    very many versions moves few rows, and other columns are compared only where versions are equal.
+    very many versions moves few rows, and of the other columns only a hash is compared.
     """
     q = lambda c: F.col(f"`{c}`")
     rest = [c for c in rows.columns if c not in (*key, version, mark)]
-    order = [q(version).desc(), q(mark).desc(), *[q(c).desc() for c in rest]]
+    order = [q(version).desc(), q(mark).desc(), *([F.xxhash64(*[q(c) for c in rest]).desc()] if rest else [])]
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*[q(k) for k in key]).orderBy(*order)))
     return ranked.filter(F.col("__rank") == 1).drop("__rank")
 

@@ -14,7 +14,7 @@ CHANGE = "version", "kind"
 
 
 def apply_changes(table: KeyedTable, changes: DataFrame) -> None:
-    """Append a batch of changes, each with its own version. Every version is written, so that what a snapshot shows doesn't depend on the batches; repeats (key, version, deleted or not) only once, as the greatest row."""
+    """Append a batch of changes, each with its own version. Every version is written, so that what a snapshot shows doesn't depend on the batches; repeats (key, version, deleted or not) only once, as ``newest`` picks them."""
     info = table.info
     if info.engine != "mutable":
         raise ValueError("changes need a mutable table")
