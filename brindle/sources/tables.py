@@ -5,6 +5,7 @@ A versioned table is only ever appended to: a change is a row with a higher vers
 its delete mark set. Reading keeps the highest version of each key; a snapshot keeps versions up to a
 time. Compaction rewrites a table without what no read can see.
 
+Each append is a folder of its own in it, so that several writers don't disturb each other's commits.
 The sidecar names the folder that holds the rows. What replaces rows (overwriting, truncating, compacting)
 writes another folder first and then the sidecar, in one atomic rename: a crash leaves the table as it was.
 """
@@ -12,14 +13,18 @@ writes another folder first and then the sidecar, in one atomic rename: a crash
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION, MARK, PART = "_version", "_delmark", "_part"
+from brindle.session import plain_path
+
+VERSION, MARK, PART, BATCH = "_version", "_delmark", "_part", "_batch"
 #: Engines: rows as they come; sorted by key in each file; upsert by key with versions.
 ENGINES = ("log", "sorted", "mutable")
 #: Defaults of partitions and buckets of a keyed table.
@@ -117,9 +122,23 @@ class KeyedTable:
         return f"{self.path}/{self.info.folder}"
 
     def _claim(self, version: int) -> bool:
-        """Whether this is the first to take a version: creating a file is atomic."""
-        at, fs = self._file(f"{self.path}/_versions/{version:020d}")
-        return fs.createNewFile(at)
+        """Whether this is the first to take a version: a file is made that must not be there, which is atomic."""
+        name = f"{self.path}/_versions/{version:020d}"
+        local = plain_path(name)
+        if local is not None:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        at, fs = self._file(name)
+        try:
+            return fs.createNewFile(at)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
 
     def next_version(self) -> int | None:
         """A version above all that were written or claimed; of several writers at once each gets its own. None where rows have none."""
@@ -188,13 +207,12 @@ class KeyedTable:
             out = out.withColumn(VERSION, F.lit(version).cast("long")).withColumn(MARK, F.lit(1 if deleted else 0).cast("tinyint"))
         return out.sortWithinPartitions(*info.key) if info.engine == "sorted" else out
 
-    def _write(self, rows: DataFrame, folder: str, mode: str = "append") -> None:
+    def _write(self, rows: DataFrame, folder: str) -> None:
         info = self.info
         part = Partitioning(**info.partitioning) if info.partitioning else None
         w = rows.withColumn(PART, part.name_of()) if part else rows
         w = w.withColumnsRenamed({n: at[-1][0] for n, at in info.stored.items()})
-        writer = w.write.mode(mode)
-        (writer.partitionBy(PART) if part else writer).parquet(f"{self.path}/{folder}")
+        (w.write.partitionBy(PART) if part else w.write).parquet(f"{self.path}/{folder}/{BATCH}={uuid.uuid4().hex}")
 
     def append(self, df: DataFrame, version: int | None = None, deleted: bool = False) -> None:
         """Rows under the table's column names. A mutable table's rows all get ``version``, which must be above those before for the change to hold."""
@@ -244,12 +262,13 @@ class KeyedTable:
         info = self.info
         hidden = [T.StructField(VERSION, T.LongType()), T.StructField(MARK, T.ByteType())] if info.engine == "mutable" else []
         part = [T.StructField(PART, T.StringType())] if info.partitioning else []
+        batch = [T.StructField(BATCH, T.StringType())]
         fields = [f for f in self.schema.fields if f.name not in info.generated]
         p, fs = self._file(self.data)
         if not fs.exists(p):
             return self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in fields] + hidden))
         places = [T.StructField(at, T._parse_datatype_string(kind)) for f in fields for at, kind in info.stored[f.name]]
-        df = self.spark.read.schema(T.StructType([*places, *hidden, *part])).parquet(self.data)
+        df = self.spark.read.schema(T.StructType([*places, *hidden, *batch, *part])).parquet(self.data)
         if partitions is not None:
             if not part:
                 raise ValueError("the table has no partitions")
@@ -329,8 +348,9 @@ class KeyedTable:
         p = Partitioning(**info.partitioning)
         if name not in p.names() or p.kind != "range" or len(p.bounds) == 1:
             raise ValueError(f"partition {name} can't be dropped")
-        at, fs = self._file(f"{self.data}/{PART}={name}")
-        fs.delete(at, True)
+        data, fs = self._file(self.data)
+        for batch in fs.listStatus(data) if fs.exists(data) else []:
+            fs.delete(self._file(f"{batch.getPath()}/{PART}={name}")[0], True)
         info.partitioning["bounds"] = [b for b in info.partitioning["bounds"] if b[0] != name]
         self._save(info)
 

@@ -376,3 +376,14 @@ def test_workload_runs(spark, tmp_path):
     ops = [*w.times(5, w.append(3)), w.Op("read", 4), w.Op("scan_range", 3, 6), *w.times(1, w.append(3)), w.Op("scan_all")]
     assert w.run(t, ops, lambda k: (k, "x")) == {"write": 6, "read": 1, "scan_range": 1, "scan_all": 1, "rows_written": 6, "rows_read": 1 + 3 + 5}
     assert w.key_range(ops) == (3, 7) and w.key_range([w.Op("scan_all")]) is None
+
+
+def test_several_writers_at_once(spark, tmp_path):
+    """Appends from several threads all arrive, each under its own version."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = KeyedTable.create(spark, f"{tmp_path}/t", SCHEMA, key=["id"], partitioning=Partitioning("hash", "id", count=2))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: t.append(spark.createDataFrame([(i * 10 + k, f"w{i}") for k in range(10)], SCHEMA), version=t.next_version()), range(12)))
+    assert t.read().count() == 120 and t.raw().select("_version").distinct().count() == 12
+    assert t.read(partitions=["p1"]).count() == 60
