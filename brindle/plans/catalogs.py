@@ -212,7 +212,7 @@ def ddl_alter_key(spark: SparkSession, sf: str) -> DataFrame:
     return _each(c, "CREATE TABLE t (l_orderkey BIGINT PRIMARY KEY, l_linenumber INT NOT NULL) USING mmt", "ALTER TABLE t DROP PRIMARY KEY, ADD PRIMARY KEY (l_orderkey, l_linenumber)", "INSERT INTO t SELECT l_orderkey, l_linenumber FROM lineitem_rowstore", "SELECT COUNT(*) AS n FROM t")
 
 
-@C.frame("ddl_passed_on", "SELECT n_nationkey AS k, 'x' AS v FROM nation")
+@C.frame("ddl_passed_on", "SELECT CAST(n_nationkey AS BIGINT) AS k, 'x' AS v FROM nation")
 def ddl_passed_on(spark: SparkSession, sf: str) -> DataFrame:
     """Statements on Spark's own tables go to Spark as they are."""
     c, name = _catalog(spark, sf, "nation"), f"plain_{uuid.uuid4().hex}"
@@ -224,7 +224,7 @@ def ddl_passed_on(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
-@C.frame("ddl_statistics", "SELECT COUNT(*) + SUM(CASE WHEN p_size < 10 THEN 1 ELSE 0 END) AS n, TRUE AS sized FROM part")
+@C.frame("ddl_statistics", "SELECT CAST(COUNT(*) + SUM(CASE WHEN p_size < 10 THEN 1 ELSE 0 END) AS BIGINT) AS n, TRUE AS sized FROM part")
 def ddl_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Stored rows, versions included, and bytes."""
     c = _catalog(spark, sf, "part")
@@ -278,7 +278,7 @@ def dml_update_delete(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@C.frame("dml_load_data", "SELECT n_nationkey, n_regionkey + 1 AS n_regionkey FROM nation WHERE n_nationkey > 4")
+@C.frame("dml_load_data", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey + 1 AS BIGINT) AS n_regionkey FROM nation WHERE n_nationkey > 4")
 def dml_load_data(spark: SparkSession, sf: str) -> DataFrame:
     """Loaded twice, the second time in place of what was there."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")

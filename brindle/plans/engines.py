@@ -125,12 +125,13 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", json_value("props", "$.k").alias("k"))
 
 
-@C.frame("json_paths", "SELECT event_id, [json_extract(props, '$.k')::VARCHAR] AS plain, ['\"' || event_type || '\"', user_id::VARCHAR] AS wild, [user_id::VARCHAR] AS deep, [(user_id + 1)::VARCHAR, (user_id + 2)::VARCHAR] AS slice, CASE WHEN user_id > 500 THEN ['\"' || event_type || '\"'] ELSE CAST([] AS VARCHAR[]) END AS chosen FROM events")
+@C.frame("json_paths", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS plain, '\"' || event_type || '\"|' || user_id AS wild, user_id::VARCHAR AS deep, (user_id + 1) || '|' || (user_id + 2) AS slice, CASE WHEN user_id > 500 THEN '\"' || event_type || '\"' ELSE '' END AS chosen FROM events")
 def json_paths_query(spark: SparkSession, sf: str) -> DataFrame:
     """Members, wildcards, recursion, slices and filters over documents made of each event."""
     made = F.expr("concat('{\"k\": ', get_json_object(props, '$.k'), ', \"a\": {\"t\": \"', event_type, '\", \"u\": ', user_id, '}, \"l\": [', user_id, ',', user_id + 1, ',', user_id + 2, '], \"m\": [{\"n\": ', user_id, ', \"t\": \"', event_type, '\"}]}')")
     d = table(spark, sf, "events").select("event_id", made.alias("doc"))
-    return json_paths(d, "doc", {"plain": "$.k", "wild": "$.a.*", "deep": "$..u", "slice": "$.l[1:]", "chosen": "$.m[?(@.n > 500 && @.t)].t"}, ["event_id"])
+    paths = {"plain": "$.k", "wild": "$.a.*", "deep": "$..u", "slice": "$.l[1:]", "chosen": "$.m[?(@.n > 500 && @.t)].t"}
+    return json_paths(d, "doc", paths, ["event_id"]).select("event_id", *[F.array_join(n, "|").alias(n) for n in paths])
 
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
