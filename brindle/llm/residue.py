@@ -343,17 +343,23 @@ def fit(counts: np.ndarray) -> dict[str, np.ndarray]:
     return tables
 
 
-def _scores(table: np.ndarray, orders: dict[int, float], grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-    """Each sign's score by the n-grams that end there and begin in the same text."""
-    score = np.zeros(len(place), np.float32)
+def _scores(table: np.ndarray, orders: dict[int, float], grams: list[np.ndarray], n: int) -> np.ndarray:
+    """Each sign's score by the n-grams that end there; bucket ``BUCKETS`` stands for those that begin in another text."""
+    score = np.zeros(n, np.float32)
     for i, order in enumerate(orders):
         if len(grams[i]):
-            score[order - 1 :] += np.where(place[order - 1 :] >= order - 1, table[i][grams[i]], 0)
+            score[order - 1 :] += np.append(table[i], np.float32(0))[grams[i]]
     return score
 
 
 def windows(tables: dict[str, np.ndarray], texts: list[str]) -> dict[str, list[np.ndarray]]:
     """Of each model, which characters of each normalised text lie in a window that is marked; ``placeholder`` by shapes and letters together."""
+    marked, bounds = _windows(tables, texts)
+    return {name: [mask[a:b] for a, b in bounds] for name, mask in marked.items()}
+
+
+def _windows(tables: dict[str, np.ndarray], texts: list[str]) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
+    """``windows`` of all texts in one row, and where each text is in it."""
     # line feeds before each text, which are in none, hold them apart: so many that no window of shapes has signs of two
     gap = PLACEHOLDER.grams
     codes = _codes("".join("\n" * gap + t for t in texts) + "\n" * gap)
@@ -361,20 +367,24 @@ def windows(tables: dict[str, np.ndarray], texts: list[str]) -> dict[str, list[n
     end = np.cumsum(size)
     place = np.arange(len(codes)) - np.repeat(end - size, size) - gap
     rest = np.repeat(size - gap, size) - np.maximum(place, 0)  # characters from here to the text's end
-    grams = [_grams(codes, order) for order in ORDERS]
+    grams = []
+    for order in ORDERS:
+        b = _grams(codes, order)
+        b[place[order - 1 :] < order - 1] = BUCKETS
+        grams.append(b)
     marked = {}
-    split = lambda mask: [m[gap:] for m in np.split(mask, end[:-1])[:-1]]
     for name, rule in RULES.items():
-        sums = np.concatenate([[0], np.cumsum(_scores(tables[name], ORDERS, grams, place), dtype=np.float64)])
+        sums = np.concatenate([[0], np.cumsum(_scores(tables[name], ORDERS, grams, len(codes)), dtype=np.float64)])
         w = np.minimum(rule.width, np.repeat(size - gap, size))
         # a text shorter than the window must say as much as a longer one in its fewer characters
         at = np.flatnonzero((rest >= w) & (place >= 0))
         at = at[sums[at + w[at]] - sums[at] >= rule.mean * rule.width]
         edge = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + w[at], minlength=len(codes) + 1)
-        marked[name] = split(np.cumsum(edge[:-1]) > 0)
-    letters = _scores(tables["placeholder"], ORDERS, grams, place)
-    marked["placeholder"] = split(_placeholders(tables["shape"], codes, letters, place))
-    return marked
+        marked[name] = np.cumsum(edge[:-1]) > 0
+    letters = _scores(tables["placeholder"], ORDERS, grams, len(codes))
+    marked["placeholder"] = _placeholders(tables["shape"], codes, letters, place)
+    first = (end - size + gap).tolist()
+    return marked, list(zip(first[:-1], end[:-1].tolist(), strict=True))
 
 
 def _placeholders(table: np.ndarray, codes: np.ndarray, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -482,11 +492,16 @@ def classify(tables: dict[str, np.ndarray], texts: list[str | None], *, by_model
             room -= len(pieces[hi][2])
             hi += 1
         part = [p[2] for p in pieces[lo:hi]]
-        marked = windows(tables, part)
+        marked, bounds = _windows(tables, part)
+        some = np.add.reduceat(np.logical_or.reduce(list(marked.values())), [a for a, _ in bounds]) > 0
         for k, t in enumerate(part):
-            own = {c: m[k] for c, m in marked.items()}
             i, seen, _, breaks = pieces[lo + k]
-            for a, b in _sentences(t, breaks) if next(_HOLDS.iter(t), None) else ():
+            whole = next(_HOLDS.iter(t), None) is not None
+            if not some[k] and not whole:
+                notice.setdefault(i, []).append((len(t) - seen, 0))
+                continue
+            own = {c: m[bounds[k][0] : bounds[k][1]] for c, m in marked.items()}
+            for a, b in _sentences(t, breaks) if whole else ():
                 if t[a:b] in _WHOLE:
                     own["filler"][a:b] = True
             notice.setdefault(i, []).append((len(t) - seen, int(np.count_nonzero(own["notice"][seen:]))))
@@ -537,7 +552,7 @@ def find_residue(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     text is judged whole. Null and empty texts
     and those of fewer than five characters are no case. Repeated rows each give a row; an empty table gives
     none. Keep columns named like a class are a ValueError; other columns don't matter. Only tables of fixed
-    size (a few MB) come to the driver and are broadcast.
+    size (12 MB) come to the driver and are broadcast.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
