@@ -97,3 +97,27 @@ def test_newest_rows_are_limited_before_the_shuffle(spark):
     """Of each key one row a task moves, however many versions it has, and the files' footers aren't needed to plan."""
     text = plan(spark, "table_current_rows")
     assert re.search(r"WindowGroupLimit .*Partial", text) and len(re.findall(r"Exchange hashpartitioning", text)) == 1
+
+
+def test_not_in_sends_no_repeated_values(spark):
+    """Spark's own join for NOT IN broadcasts all values whatever their size; this one has distinct values and can sort instead."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(spark, "join_not_in_null_left")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "Broadcast" not in text, text
+    assert re.search(r"SortMergeJoin.*LeftAnti", text), text
+
+
+@pytest.mark.parametrize("values", [[], [None], [1, 1, 3], [1, None, 3]])
+def test_not_in_nulls_and_repeats(spark, values):
+    from brindle.plans.relational import not_in
+
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate([1, 2, 2, None, 3, 4])], "id int, k int")
+    right = spark.createDataFrame([(v,) for v in values], "k int")
+    rows.createOrReplaceTempView("not_in_rows")
+    right.createOrReplaceTempView("not_in_values")
+    sql = spark.sql("SELECT * FROM not_in_rows WHERE k NOT IN (SELECT k FROM not_in_values)")
+    assert sorted(not_in(rows, "k", right).collect()) == sorted(sql.collect())
