@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -330,19 +331,19 @@ def dml_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- sources and sinks ---
-def _derby(spark: SparkSession) -> str:
-    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    return f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
-
-
 @C.frame("source_jdbc", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def source_jdbc(spark: SparkSession, sf: str) -> DataFrame:
-    """Written to a database in batches, and read back in ranges of its key. A database in the driver's memory: local sessions only."""
-    url = _derby(spark)
+    """Written to a database in batches, and read back in ranges of its key. Spark brings an embedded database only: the driver's process writes it, all executors read its archive."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    folder = plain_path(shared_path(spark, "jdbc"))
+    if not folder:
+        raise ValueError("source_jdbc needs a shared folder (spark.checkpoint.dir) that is mounted")
+    os.makedirs(folder)
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    io.write_jdbc(rows, url, "customers", mode="append")
-    top = rows.agg(F.max("c_custkey")).first()[0]
-    return io.read_jdbc(spark, url, "customers", column="c_custkey", bounds=(1, top), splits=4).select(*[F.col(c).alias(c.lower()) for c in ("c_custkey", "c_name", "c_acctbal")])
+    io.write_embedded(rows, f"jdbc:derby:{folder}/db;create=true", "customers")
+    url = io.archive_derby(spark, f"{folder}/db")
+    least, most = rows.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return io.read_jdbc(spark, url, "customers", column="c_custkey", bounds=None if most is None else (least, most), splits=4).select(*[F.col(c).alias(c.lower()) for c in ("c_custkey", "c_name", "c_acctbal")])
 
 
 @C.frame("source_random_insert", "SELECT COUNT(*) AS n, TRUE AS even FROM orders")

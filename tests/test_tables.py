@@ -1,6 +1,12 @@
 """Keyed tables, the two catalogs, sources and change apply."""
 
+import datetime
+import os
 import random
+import subprocess
+import sys
+from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +220,63 @@ def test_database_update(spark, tmp_path):
     assert io.update_statement("t", ["a", "b"], ["c"]) == "UPDATE t SET `c` = ? WHERE `a` = ? AND `b` = ?"
 
 
+def test_database_of_one_process(spark, tmp_path):
+    """Types, nulls and names reach the database; a failed write leaves no rows; tasks read its archive in ranges."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    schema = "k long, `a b` string, x double, d date, t timestamp, m decimal(20,3), f boolean, n int, s short, y binary"
+    moment = datetime.datetime(2020, 2, 29, 1, 2, 3, 456000)
+    given = [(i, f"it's {i}", i / 8, datetime.date(2020, 1, 1), moment, Decimal("12345678901234567.125"), i % 2 == 0, i, i, b"\x00\xff") for i in range(7)]
+    given += [(None,) * 10, (9, "", *[None] * 8)]
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame(given, schema).repartition(3)
+    io.write_embedded(df, url, "t", batch=2)
+    io.write_embedded(df.limit(0), url, "no_rows")
+    with pytest.raises(Exception, match="(?i)already exists"):
+        io.write_embedded(df, url, "t")
+    with pytest.raises(Exception, match="(?i)divi"):
+        io.write_embedded(spark.range(0, 20, 1, 2).selectExpr("1 DIV (id - 19) AS q"), url, "broken", batch=3)
+    archive = io.archive_derby(spark, f"{tmp_path}/db")
+    assert not (tmp_path / "db").exists()
+    found = io.read_jdbc(spark, archive, "t", column="k", bounds=(0, 9), splits=3)
+    assert found.rdd.getNumPartitions() == 3 and sorted(map(str, found.collect())) == sorted(map(str, df.collect()))
+    assert [io.read_jdbc(spark, archive, t).count() for t in ("no_rows", "broken")] == [0, 0]
+
+
+@pytest.mark.parametrize("keys", [[], [0], [None], [None, -3, 0, 5]])
+def test_database_ranges_of_odd_keys(spark, tmp_path, keys):
+    import __spark_entry__ as entry
+
+    given = [(k, f"Customer {k}", 1.5) for k in keys]
+    spark.createDataFrame(given, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(entry.queries()["source_jdbc"](spark, str(tmp_path))) == sorted(given, key=str)
+
+
+def test_database_written_by_tasks(spark):
+    """Tasks that share the database's process write it themselves."""
+    url = "jdbc:derby:memory:tasks;create=true"
+    io.write_jdbc(spark.range(0, 100, 1, 4), url, "t", batch=7)
+    assert sorted(r.id for r in io.read_jdbc(spark, url, "t", column="id", bounds=(0, 100), splits=3).collect()) == list(range(100))
+
+
+def test_database_with_executors_elsewhere(tmp_path, sf):
+    """Executors in processes of their own, which see nothing of the driver's memory."""
+    script = f"""
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+conf = {{"spark.executor.memory": "512m", "spark.driver.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.sql.warehouse.dir": "{tmp_path}/warehouse"}}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+found = entry.queries()["source_jdbc"](spark, "{sf}")
+given = spark.read.parquet("{sf}/customer.parquet").select(found.columns)
+print("rows", found.count(), found.exceptAll(given).count(), given.exceptAll(found).count())
+spark.stop()
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    env = os.environ | {"PYTHONPATH": root + os.pathsep + os.environ.get("PYTHONPATH", "")}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS")}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 150 0 0" in done.stdout, done.stderr[-3000:]
+
+
 def test_stream_of_changes(spark, tmp_path):
     t = KeyedTable.create(spark, f"{tmp_path}/t", SCHEMA, key=["id"])
     batch = [(1, "a", 1, "I"), (2, "b", 1, "I"), (1, "c", 3, "U"), (2, None, 2, "D"), (1, "late", 2, "U")]
